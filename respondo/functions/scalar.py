@@ -39,15 +39,20 @@ def safe_div(num: ColumnOrName, den: ColumnOrName, default: float | None = 0.0)
     return q if default is None else F.coalesce(q, dbl(default))
 
 
-def pct(num: ColumnOrName, den: ColumnOrName, digits: int | None = 6) -> Column:
+def pct(num: ColumnOrName, den: ColumnOrName, digits: int | None = 9) -> Column:
     """Percentage ``num / den * 100``; NULL on an empty denominator."""
     p = safe_div(num, den, None) * dbl(100.0)
     return F.round(p, digits) if digits is not None else p
 
 
+DIGITS = 9
+
+
 def r6(x: ColumnOrName) -> Column:
-    """Round doubles to 6 places (the precision both oracle sides agree on)."""
-    return F.round(col(x).cast("double"), 6)
+    """Round doubles to ``DIGITS`` places: removes last-bit differences
+    between engines, yet never lands on the half-way point of values
+    derived from the 2-decimal source data."""
+    return F.round(col(x).cast("double"), DIGITS)
 
 
 def str_replace(x: ColumnOrName, old: str, new: str) -> Column:

@@ -104,4 +104,4 @@ def crosstab_normalized(df: DataFrame, column: str, target: str = "y",
         aggs.append(F.count_if(F.col(target) == c).alias(f"n_{c}"))
     t = df.groupBy(F.col(column).alias("value")).agg(*aggs)
     return t.select("value", "rows", *[
-        F.round(F.col(f"n_{c}") / F.col("rows"), 6).alias(f"share_{c}") for c in classes])
+        F.round(F.col(f"n_{c}") / F.col("rows"), 9).alias(f"share_{c}") for c in classes])
