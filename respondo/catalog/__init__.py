@@ -1,6 +1,6 @@
 """All registered queries. Importing a section module registers its ids."""
 
-from respondo.catalog import decisions, profiling, segments  # noqa: F401
+from respondo.catalog import decisions, preparation, profiling, segments  # noqa: F401
 from respondo.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

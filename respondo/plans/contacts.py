@@ -113,3 +113,15 @@ CONTACTS_SQL = """contacts AS (
 def with_contacts(sql: str, *ctes: str) -> str:
     """Prefix an oracle query with the contacts CTE (and any extra CTEs)."""
     return "WITH " + ",\n".join((CONTACTS_SQL,) + ctes) + "\n" + sql
+
+
+# Category domains of the star schema's low-cardinality columns
+# (only used to spell out one-hot columns in oracle SQL; the Spark side fits
+# its vocabulary from the data).
+DOMAINS = {
+    "job": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "education": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "contact": ["F", "O"],
+    "poutcome": ["F", "O", "P"],
+    "marital": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+}
