@@ -1,7 +1,7 @@
 """All registered queries. Importing a section module registers its ids."""
 
-from respondo.catalog import (decisions, modelling, preparation, profiling,  # noqa: F401
-                              segments)
+from respondo.catalog import (decisions, io, modelling, preparation,  # noqa: F401
+                              profiling, segments)
 from respondo.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
