@@ -41,6 +41,9 @@ def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
     """Split, encode, scale, select and assemble; every fit on train only."""
     base = splits.train_test_split(df, key, test_pct)
     base = splits.fold_ids(base, key, folds).withColumn(LABEL, F.col(target).cast("double"))
+    # several fits read the same input: keep it (recomputable from lineage
+    # if an executor is lost) instead of re-running the joins each time
+    base = base.persist()
     train = base.where(F.col("split") == "train")
     vocab = features.fit_categories(train, categorical)
     enc = base.select(*key, LABEL, "split", "fold", *numeric, *features.one_hot(vocab))

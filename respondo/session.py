@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.filterPushdown", "true")
+        # wide one-pass aggregations (profiling, correlations) keep codegen
+        .config("spark.sql.codegen.maxFields", "1000")
         .getOrCreate()
     )
 

@@ -88,3 +88,20 @@ def coerce_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     wanted = set(columns)
     return df.select(*[coerce_numeric(c).alias(c) if c in wanted else F.col(c)
                        for c in df.columns])
+
+
+# Numeric columns of the raw contact table (names after
+# clean_name), the rest stay strings ("unknown" is a category).
+RAW_NUMERIC = ["age", "duration", "campaign", "pdays", "previous", "emp_var_rate",
+               "cons_price_idx", "cons_conf_idx", "euribor3m", "nr_employed"]
+
+
+def read_raw_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """The raw contact table (delimited text, e.g. a TSV named ``.xls``):
+    sniffed separator, one-column repair when needed, numeric coercion.
+    Damaged numbers (spreadsheet dates such as ``1.Oca``) become NULL."""
+    df = read_delimited(spark, path)
+    if len(df.columns) == 1:
+        df = split_single_column(spark.read.text(path), "value")
+    nums = [c for c in RAW_NUMERIC if c in df.columns]
+    return coerce_columns(df, nums)
