@@ -281,3 +281,13 @@ def q_pca_95(spark, sf):
         rows.append((i + 1, float(r), float(cum)))
     return spark.createDataFrame(rows, "component int, explained_variance_ratio double, "
                                        "cumulative double")
+
+
+@register("smote")
+def q_smote(spark, sf):
+    """Training split balanced 1:1 with SMOTE (exact 5-NN among minority
+    rows); returns original and synthetic rows."""
+    from respondo.operators.resample import smote
+    prep = _prepared(spark, sf)
+    train = _train(prep).select(*KEY, *prep.feature_names, models.LABEL)
+    return smote(train, KEY, prep.feature_names, models.LABEL, k=5)

@@ -186,3 +186,33 @@ def test_one_hot_drop_first_and_unseen(spark):
     rows = new.select(*features.one_hot(vocab)).collect()
     assert [tuple(r) for r in rows] == [(0.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
     assert new.select(*features.one_hot(vocab)).columns == ["job_b", "job_c"]
+
+
+def test_exact_knn_matches_brute_force(spark):
+    from respondo.operators.resample import exact_knn, knn_pairs_brute
+    from respondo.session import cut_lineage
+    rnd = random.Random(11)
+    pts = [(i, [rnd.random() for _ in range(3)]) for i in range(300)]
+    df = cut_lineage(spark.createDataFrame(pts, "mid long, x array<double>"))
+    knn, _ = exact_knn(df, 3, k=5, split_dims=2, cell_rows=20)   # many cells: halos matter
+    got = {}
+    for r in knn.orderBy("mid", "rank").collect():
+        got.setdefault(r.mid, []).append(r.nb)
+    assert got == knn_pairs_brute(pts, 5)
+
+
+def test_smote_balances_inside_minority_box(spark):
+    from respondo.operators.resample import smote
+    rnd = random.Random(5)
+    rows = [(i, rnd.random(), rnd.random(), int(i % 5 == 0)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    out = smote(df, ["k"], ["a", "b"], "y", k=5, cell_rows=30)
+    counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert counts[0] == counts[1] == 400
+    mins = [r for r in rows if r[3] == 1]
+    box = [(min(r[i] for r in mins), max(r[i] for r in mins)) for i in (1, 2)]
+    syn = out.where("synthetic").collect()
+    assert len(syn) == 300
+    for r in syn:
+        assert box[0][0] - 1e-12 <= r.a <= box[0][1] + 1e-12
+        assert box[1][0] - 1e-12 <= r.b <= box[1][1] + 1e-12
