@@ -19,9 +19,11 @@ MAX_CATEGORIES = 10_000
 # ---- imputation -------------------------------------------------------------
 
 def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact median per column (``median`` aggregate), one pass."""
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    """Exact median per column (interpolated, as ``median``), computed by
+    :func:`exact_percentiles` so no column is gathered in one task."""
+    from respondo.operators.quantiles import exact_percentiles
+    got = {r["feature"]: r["value"] for r in exact_percentiles(df, columns, [0.5]).collect()}
+    return {c: got.get(c) for c in columns}
 
 
 def impute(df: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -75,11 +75,13 @@ def share_within_class(df: DataFrame, predicates: dict[str, Column], target: str
 
 def group_stats(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """Mean and exact 75th percentile of each metric per outcome class."""
-    aggs = []
-    for m in metrics:
-        aggs += [F.avg(F.col(m).cast("double")).alias(f"mean_{m}"),
-                 F.percentile(F.col(m), dbl(0.75)).alias(f"p75_{m}")]
-    return df.groupBy(by).agg(*aggs)
+    from respondo.operators.quantiles import percentiles_wide
+    means = df.groupBy(by).agg(*[F.avg(F.col(m).cast("double")).alias(f"mean_{m}")
+                                 for m in metrics])
+    q = percentiles_wide(df, metrics, [0.75], [by])
+    p75 = q.groupBy(by).agg(*[F.max(F.when(F.col("feature") == m, F.col("q0"))).alias(f"p75_{m}")
+                              for m in metrics])
+    return means.join(p75, by)
 
 
 def group_mode(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -216,3 +216,19 @@ def test_smote_balances_inside_minority_box(spark):
     for r in syn:
         assert box[0][0] - 1e-12 <= r.a <= box[0][1] + 1e-12
         assert box[1][0] - 1e-12 <= r.b <= box[1][1] + 1e-12
+
+
+@pytest.mark.parametrize("accuracy,max_band", [(10_000, 100_000), (50, 40)])
+def test_exact_percentiles_equal_spark_percentile(spark, accuracy, max_band):
+    from respondo.operators.quantiles import exact_percentiles
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 2), float(rnd.randint(0, 300)), rnd.gauss(0, 1)) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.feature, r.p_idx): r.value for r in exact_percentiles(
+        df, ["a", "b"], probs, ["g"], accuracy=accuracy, max_band=max_band).collect()}
+    want = df.groupBy("g").agg(*[F.percentile(c, probs).alias(c) for c in ("a", "b")]).collect()
+    for r in want:
+        for c in ("a", "b"):
+            for i, v in enumerate(r[c]):
+                assert got[(r.g, c, i)] == pytest.approx(v, rel=0, abs=1e-12)
