@@ -239,8 +239,10 @@ def q_permutation_importance(spark, sf):
     from respondo.operators import splits
     prep = _prepared(spark, sf, k_best=None)
     model = models.forest(num_trees=20, balanced=False).fit(_train(prep))
-    test = prep.frame.where(F.col("split") == "test") \
-        .withColumn("_h", splits.key_hash(KEY)).withColumn("_b", F.col("_h") % 64)
+    test = prep.frame.where(F.col("split") == "test")
+    # at most ~50k rows per bucket whatever the table size (>= 64 buckets)
+    buckets = max(64, test.count() // 50_000)
+    test = test.withColumn("_h", splits.key_hash(KEY)).withColumn("_b", F.col("_h") % buckets)
     base = models.evaluate(models.scored(model, test, KEY), "baseline", with_auc=False) \
         .select(F.col("f1").alias("f1_base"))
     w = Window.partitionBy("_b").orderBy("_h", *KEY)

@@ -81,16 +81,17 @@ def one_hot(vocab: dict[str, list[str]], drop_first: bool = True,
 
 
 def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1. The code table is built on the
-    distinct values (small), ranked there, and joined back by broadcast
-    after a size check."""
-    from respondo.sources.tables import sized_broadcast
+    """Sorted distinct values -> 0..k-1. The distinct values are counted
+    (bounded check) before they are ranked in one small window, then the
+    code table is joined back by broadcast."""
+    from respondo.sources.tables import fits
     out = out or f"{column}_code"
-    codes = df.select(column).distinct().where(F.col(column).isNotNull())
-    # the rank window runs over the distinct values only
-    codes = codes.withColumn(out, (F.dense_rank().over(
+    values = df.select(column).distinct().where(F.col(column).isNotNull())
+    if not fits(values, MAX_CATEGORIES):
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
+    codes = values.withColumn(out, (F.dense_rank().over(
         Window.partitionBy(F.lit(0)).orderBy(column)) - 1).cast("int"))
-    return df.join(sized_broadcast(codes, MAX_CATEGORIES), column, "left")
+    return df.join(F.broadcast(codes), column, "left")
 
 
 # ---- scaling -------------------------------------------------------------------
