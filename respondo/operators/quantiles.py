@@ -6,44 +6,36 @@ whole column. This operator returns the same values (linear interpolation
 at position ``p * (n - 1)``, like ``percentile`` / ``quantile_cont``) by
 narrowing down instead:
 
-1. one aggregation: exact ``n`` and mergeable ``percentile_approx``
-   sketches at ``p -/+ margin`` per (group, column) give a bracket;
-2. one aggregation counts the rows below and up to the bracket for every
-   target, which proves the bracket holds the needed ranks (a failing
-   bracket is opened, so the result never depends on the sketch);
-3. while a bracket still holds more than ``max_band`` rows, a sketch over
-   just those rows narrows it (then it is verified again);
-4. the rows left in each bracket are ranked by a window partitioned per
-   target and the two values around the position are interpolated.
-
-Only brackets and counts (a few numbers per target) reach the driver.
+1. one aggregation: exact counts and mergeable ``percentile_approx``
+   sketches at ``p -/+ margin`` per group and column give a bracket
+   ``[lo, hi]`` for every target (group, column, probability);
+2. one aggregation counts, per target, the rows below ``lo``, up to
+   ``hi``, equal to ``lo`` and strictly inside, which proves the bracket
+   holds the needed ranks (a failing bracket is opened, so the result
+   never depends on the sketch); runs of values equal to a bracket end are
+   resolved from these counts alone, so a hot value costs nothing;
+3. while the inside of a bracket still holds more than ``max_band`` rows,
+   a sketch over just those rows narrows it (then it is verified again);
+4. the rows strictly inside each bracket are ranked by a window
+   partitioned per target; the (at most two) rows at the needed ranks come
+   back and are interpolated.
+
+All passes read the input in its wide form (no row multiplication);
+brackets are literals in the plan, and only brackets, counts and the
+picked values reach the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 _STEPS = 256
 _REFINE = [i / _STEPS for i in range(_STEPS + 1)]
 INF = float("inf")
 
 
-def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    casted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    return casted.unpivot(by, columns, "feature", "x").where(F.col("x").isNotNull())
-
-
-def _target_frame(spark, key_fields, targets, extra: list[tuple[str, object]]):
-    schema = StructType(key_fields + [StructField("tid", IntegerType())]
-                        + [StructField(n, t) for n, t in extra])
-    names = [f.name for f in key_fields]
-    rows = [tuple([t[n] for n in names] + [k] + [t[n] for n, _ in extra])
-            for k, t in enumerate(targets)]
-    return spark.createDataFrame(rows, schema)
-
-
 def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                       by: list[str] | None = None, accuracy: int = 10_000,
                       max_band: int = 100_000, max_rounds: int = 6) -> DataFrame:
@@ -51,87 +43,162 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
     column (per group) for each probability in ``probs``."""
     by = list(by or [])
     spark = df.sparkSession
-    long = _long(df, columns, by)
-    key_fields = list(long.select(*by, "feature").schema.fields)
-    keys = [*by, "feature"]
+    cols = list(columns)
+    # read by every pass below; released before returning
+    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist()
+    by_fields = list(data.select(*by).schema.fields) if by else []
     margin = 2.0 / accuracy
     clamp = lambda v: min(1.0, max(0.0, v))
     grid = sorted({clamp(p + s * margin) for p in probs for s in (-1, 1)})
 
-    first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    F.percentile_approx("x", grid, accuracy).alias("q")).collect()
-    targets = []
+    first = data.groupBy(*by).agg(*[
+        agg for c in cols for agg in (
+            F.count(F.col(c)).alias(f"n__{c}"),
+            F.percentile_approx(c, grid, accuracy).alias(f"q__{c}"))]).collect()
+
+    # targets[(group, column, p_idx)] -> bracket state (small, on the driver)
+    targets: dict[tuple, dict] = {}
     for r in first:
-        n, qs = r["n"], dict(zip(grid, r["q"]))
-        for i, p in enumerate(probs):
-            pos = p * (n - 1)
-            lp = int(pos // 1)
-            hp = int(-(-pos // 1))
-            targets.append({**{c: r[c] for c in keys}, "p_idx": i, "pos": pos, "lp": lp,
-                            "hp": hp, "lo": qs[clamp(p - margin)], "hi": qs[clamp(p + margin)]})
+        g = tuple(r[b] for b in by)
+        for c in cols:
+            n = r[f"n__{c}"]
+            if not n:
+                continue
+            qs = dict(zip(grid, r[f"q__{c}"]))
+            for i, p in enumerate(probs):
+                pos = p * (n - 1)
+                targets[(g, c, i)] = {"pos": pos, "lp": int(pos // 1), "hp": int(-(-pos // 1)),
+                                      "lo": qs[clamp(p - margin)], "hi": qs[clamp(p + margin)]}
+
+    out_schema = StructType(by_fields + [StructField("feature", StringType()),
+                                         StructField("p_idx", IntegerType()),
+                                         StructField("value", DoubleType())])
     if not targets:
-        schema = StructType(key_fields + [StructField("p_idx", IntegerType()),
-                                          StructField("value", DoubleType())])
-        return spark.createDataFrame([], schema)
+        data.unpersist()
+        return spark.createDataFrame([], out_schema)
+    groups = sorted({g for g, _, _ in targets}, key=repr)
+
+    def in_group(g):
+        cond = F.lit(True)
+        for b, v in zip(by, g):
+            cond = cond & (F.col(b).isNull() if v is None else (F.col(b) == F.lit(v)))
+        return cond
+
+    def bound(c, i, which):
+        """The bracket end for column ``c``/probability ``i`` of each row's
+        group: a literal (or a CASE over the few groups)."""
+        if not by:
+            t = targets.get(((), c, i))
+            return F.lit(float(t[which]) if t else None).cast("double")
+        expr = None
+        for g in groups:
+            t = targets.get((g, c, i))
+            if t is None:
+                continue
+            cond, val = in_group(g), F.lit(float(t[which]))
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return expr
 
     def count_brackets():
-        tdf = _target_frame(spark, key_fields, targets, [("lo", DoubleType()), ("hi", DoubleType())])
-        # each row meets the targets of its column: a broadcast of the small
-        # target table, then exact counts per target
-        j = long.join(F.broadcast(tdf), keys)
-        got = {r["tid"]: (r["below"], r["upto"]) for r in j.groupBy("tid").agg(
-            F.count_if(F.col("x") < F.col("lo")).alias("below"),
-            F.count_if(F.col("x") <= F.col("hi")).alias("upto")).collect()}
+        aggs = []
+        for c in cols:
+            x = F.col(c)
+            for i in range(len(probs)):
+                lo, hi = bound(c, i, "lo"), bound(c, i, "hi")
+                aggs += [F.count_if(x < lo).alias(f"b__{c}__{i}"),
+                         F.count_if(x <= hi).alias(f"u__{c}__{i}"),
+                         F.count_if(x == lo).alias(f"l__{c}__{i}"),
+                         F.count_if((x > lo) & (x < hi)).alias(f"m__{c}__{i}")]
+        got = {tuple(r[b] for b in by): r for r in data.groupBy(*by).agg(*aggs).collect()}
         opened = False
-        for k, t in enumerate(targets):
-            below, upto = got.get(k, (0, 0))
+        for (g, c, i), t in targets.items():
+            r = got.get(g)
+            below, upto, eq_lo, mid = [r[f"{k}__{c}__{i}"] if r else 0 for k in "bulm"]
             if below > t["lp"]:
                 t["lo"], opened = -INF, True
             if upto < t["hp"] + 1:
                 t["hi"], opened = INF, True
-            t["below"], t["band"] = below, upto - below
-        return j, opened
+            t.update(below=below, eq_lo=eq_lo, mid=mid)
+        return opened
+
+    def inner_ranks(t):
+        """1-based ranks of lp/hp among the rows strictly inside, or None
+        when the rank falls on the run equal to a bracket end."""
+        out = []
+        for rank in (t["lp"], t["hp"]):
+            r = rank - t["below"] + 1
+            out.append(r - t["eq_lo"] if t["eq_lo"] < r <= t["eq_lo"] + t["mid"] else None)
+        return out
+
+    def inside(pairs):
+        """(by..., feature, p_idx, x) for rows strictly inside the brackets
+        of ``pairs`` (column, p_idx): the small share that needs ranks."""
+        items = []
+        for c, i in pairs:
+            lo, hi = bound(c, i, "lo"), bound(c, i, "hi")
+            hit = (F.col(c) > lo) & (F.col(c) < hi)
+            items.append(F.when(hit, F.struct(F.lit(c).alias("feature"), F.lit(i).alias("p_idx"),
+                                              F.col(c).alias("x"))))
+        return data.select(*by, F.explode(F.array_compact(F.array(*items))).alias("t")) \
+            .select(*by, "t.feature", "t.p_idx", "t.x")
 
     verified = False
     for _ in range(max_rounds):
-        j, opened = count_brackets()
-        if opened:
+        if count_brackets():
             continue
         verified = True
-        big = [k for k, t in enumerate(targets) if t["band"] > max_band]
+        big = {k for k, t in targets.items()
+               if t["mid"] > max_band and any(r is not None for r in inner_ranks(t))}
         if not big:
             break
-        sub = j.where(F.col("tid").isin(big) & (F.col("x") >= F.col("lo"))
-                      & (F.col("x") <= F.col("hi")))
-        rq = {r["tid"]: r["q"] for r in sub.groupBy("tid").agg(
-            F.percentile_approx("x", _REFINE, accuracy).alias("q")).collect()}
+        rq = {(tuple(r[b] for b in by), r["feature"], r["p_idx"]): r["q"]
+              for r in inside(sorted({(c, i) for _, c, i in big})).groupBy(*by, "feature", "p_idx")
+              .agg(F.percentile_approx("x", _REFINE, accuracy).alias("q")).collect()}
         for k in big:
-            t, band = targets[k], max(1, targets[k]["band"])
-            a = (t["lp"] - t["below"]) / band
-            b = (t["hp"] - t["below"] + 1) / band
-            t["lo"] = rq[k][max(0, int(a * _STEPS) - 2)]
-            t["hi"] = rq[k][min(_STEPS, int(-(-b * _STEPS // 1)) + 2)]
+            t = targets[k]
+            ra, rb = inner_ranks(t)
+            mid = max(1, t["mid"])
+            a = ((ra if ra is not None else 1) - 1) / mid
+            b = (rb if rb is not None else mid) / mid
+            q = rq.get(k)
+            if q:
+                t["lo"] = max(t["lo"], q[max(0, int(a * _STEPS) - 2)])
+                t["hi"] = min(t["hi"], q[min(_STEPS, int(-(-b * _STEPS // 1)) + 2)])
         verified = False
-    if not verified:
-        _, opened = count_brackets()
-        if opened:   # open brackets always hold their ranks: count once more
-            count_brackets()
-
-    for t in targets:
-        t["r_lo"], t["r_hi"] = t["lp"] - t["below"] + 1, t["hp"] - t["below"] + 1
-    tdf = _target_frame(spark, key_fields, targets, [
-        ("lo", DoubleType()), ("hi", DoubleType()), ("r_lo", LongType()), ("r_hi", LongType()),
-        ("pos", DoubleType()), ("lp", LongType()), ("hp", LongType()), ("p_idx", IntegerType())])
-    band = long.join(F.broadcast(tdf), keys) \
-        .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-    # one window partition per target: its verified bracket only
-    ranked = band.withColumn("rn", F.row_number().over(Window.partitionBy("tid").orderBy("x")))
-    picked = ranked.groupBy("tid", *keys, "p_idx", "pos", "lp", "hp").agg(
-        F.max(F.when(F.col("rn") == F.col("r_lo"), F.col("x"))).alias("v_lo"),
-        F.max(F.when(F.col("rn") == F.col("r_hi"), F.col("x"))).alias("v_hi"))
-    value = F.when(F.col("hp") == F.col("lp"), F.col("v_lo")).otherwise(
-        (F.col("hp") - F.col("pos")) * F.col("v_lo") + (F.col("pos") - F.col("lp")) * F.col("v_hi"))
-    return picked.select(*keys, "p_idx", value.alias("value"))
+    if not verified and count_brackets():
+        count_brackets()   # opened brackets always hold their ranks
+
+    need = {k: inner_ranks(t) for k, t in targets.items()}
+    wanted = [(g, c, i, r) for (g, c, i), rs in need.items() for r in rs if r is not None]
+    vals: dict[tuple, dict[int, float]] = {}
+    if wanted:
+        # one window partition per target: only its strictly-inside rows
+        ranked = inside(sorted({(c, i) for _, c, i, _ in wanted})).withColumn(
+            "rn", F.row_number().over(Window.partitionBy(*by, "feature", "p_idx").orderBy("x")))
+        pick = spark.createDataFrame(
+            sorted({tuple(list(g) + [c, i, r]) for g, c, i, r in wanted}, key=repr),
+            StructType(by_fields + [StructField("feature", StringType()),
+                                    StructField("p_idx", IntegerType()),
+                                    StructField("rn", IntegerType())]))
+        for r in ranked.join(F.broadcast(pick), [*by, "feature", "p_idx", "rn"]).collect():
+            k = (tuple(r[b] for b in by), r["feature"], r["p_idx"])
+            vals.setdefault(k, {})[r["rn"]] = r["x"]
+
+    def value_at(k, t, rank, inner):
+        if inner is not None:
+            return vals[k][inner]
+        return t["lo"] if rank - t["below"] + 1 <= t["eq_lo"] else t["hi"]
+
+    result = []
+    for k, t in targets.items():
+        g, c, i = k
+        ra, rb = need[k]
+        v = value_at(k, t, t["lp"], ra)
+        if t["hp"] != t["lp"]:
+            v = (t["hp"] - t["pos"]) * v + (t["pos"] - t["lp"]) * value_at(k, t, t["hp"], rb)
+        result.append(tuple(list(g) + [c, i, v]))
+    data.unpersist()
+    return spark.createDataFrame(result, out_schema)
 
 
 def percentiles_wide(df: DataFrame, columns: list[str], probs: list[float],

@@ -4,9 +4,10 @@ customer contacts, with the response-analytics roles as column names.
 Join order is chosen for scale: the dimension chain (region -> nation ->
 customer -> orders) is built first and the biggest table, ``lineitem``,
 joins last, so it is shuffled exactly once (by order key). ``nation`` and
-``region`` are broadcast behind a row-count check; ``customer`` and
-``orders`` are left to Catalyst/AQE (shuffle join, or runtime broadcast
-when their measured size is small).
+``region`` are broadcast behind a row-count check; the orders side is
+broadcast only while the orders/customer files are proven small, else the
+join is a shuffle join (AQE may still switch at run time, and splits a
+skewed order key).
 
 Only the joins that the requested columns need are built. Dropping an
 unused inner join relies on the star schema's foreign keys (every line has
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.sources.tables import load, sized_broadcast
+from respondo.sources.tables import broadcast_by_size, load, sized_broadcast
 
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -76,7 +77,12 @@ def contacts(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
                 cust = cust.join(sized_broadcast(nat, 10_000),
                                  cust.c_nationkey == nat.n_nationkey)
             dim = dim.join(cust, dim.o_custkey == cust.c_custkey)
-        df = line.join(dim, line.l_orderkey == dim.o_orderkey)
+        # the dimension side has one row per order (foreign keys), so the
+        # orders (+ customer) files bound its size; without that bound the
+        # planner could pick the fact table as broadcast side
+        bounds = [load(spark, sf_dir, "orders")] + (
+            [load(spark, sf_dir, "customer")] if depth >= 2 else [])
+        df = line.join(broadcast_by_size(dim, bounds), line.l_orderkey == dim.o_orderkey)
 
     out = ([F.col(k) for k in KEY] if key else []) + [
         F.expr(_ROLES[c][1]).alias(c) for c in columns if not (key and c in KEY)]

@@ -32,3 +32,24 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     join strategy to Catalyst/AQE (shuffle join, or a runtime broadcast if
     the measured size is below ``autoBroadcastJoinThreshold``)."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (for a parquet scan: the bytes of
+    its files, scaled by the read columns). No job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+# parquet bytes (compressed) below which a dimension side is broadcast
+BROADCAST_FILE_BYTES = 32 * 1024 * 1024
+
+
+def broadcast_by_size(side: DataFrame, bounded_by: list[DataFrame],
+                      max_bytes: int = BROADCAST_FILE_BYTES) -> DataFrame:
+    """Broadcast ``side`` when the base tables that bound its size (e.g.
+    ``orders`` for ``orders JOIN customer`` on a foreign key) are proven
+    small by their file sizes; otherwise leave the choice to Catalyst/AQE
+    (a shuffle join at scale). A join's own estimate is a product of its
+    inputs, hence the base-table bound."""
+    total = sum(estimated_bytes(b) for b in bounded_by)
+    return F.broadcast(side) if total <= max_bytes else side
