@@ -51,6 +51,8 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     spark = local_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2))
     spark.sparkContext.setLogLevel("ERROR")
+    # JVM / codegen warm-up, not timed
+    spark.read.parquet(os.path.join(sf_dir, "region.parquet")).count()
     times = {}
     for name in only:
         t0 = time.perf_counter()

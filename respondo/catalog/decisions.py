@@ -490,15 +490,14 @@ def _ranking_sql() -> str:
         f"{imp_l} AS impact, rid FROM customers_r" for i, (f, imp, imp_l) in enumerate(items))
     # ranks are per input row: ``rid`` tells rows apart even if a key repeats
     return (f"SELECT {KEYS}, CAST(row_number() OVER (PARTITION BY rid ORDER BY importance DESC, "
-            f"ordinal) AS INTEGER) AS rank, factor, ROUND(importance, 9) AS importance, impact FROM ({parts})")
+            f"ordinal) AS INTEGER) AS rank, factor, importance, impact FROM ({parts})")
 
 
 @register("factor_ranking", with_customers(
     _ranking_sql(), "customers_r AS (SELECT *, row_number() OVER () AS rid FROM customers)"))
 def q_factor_ranking(spark, sf):
     r = explain.factor_ranking(customers(spark, sf), KEY)
-    return r.select(*KEY, F.col("rank").cast("int"), "factor", r6("importance").alias("importance"),
-                    "impact")
+    return r.select(*KEY, F.col("rank").cast("int"), "factor", "importance", "impact")
 
 
 @register("interaction_flags", with_customers(

@@ -104,7 +104,10 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "y",
     ``pos(s) * (2 * neg_below(s) + neg(s))``, summed as integers, over
     ``2 * P * N``."""
     by = list(by or [])
-    counts = score_counts(df, score, label, by)
+    # per distinct score counts feed three passes (range cuts, offsets,
+    # running sums): kept once instead of recomputed; the result is one row
+    # per group, so it is materialised and the cache released
+    counts = score_counts(df, score, label, by).persist()
     cum = running_sums(counts, score, ["neg"], by)
     neg_below = F.col("neg_cum") - F.col("neg")
     # as DOUBLE: exact while the sums stay below 2**53, and no BIGINT
@@ -112,5 +115,8 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "y",
     num = F.col("pos").cast("double") * (2 * neg_below + F.col("neg")).cast("double")
     agg = cum.groupBy(*by).agg(F.sum(num).alias("num"), F.sum("pos").alias("P"),
                                F.sum("neg").alias("N"))
-    return agg.select(*by, F.round(safe_div(F.col("num"), F.col("P").cast("double") * F.col("N") * 2.0, None), 9)
-                      .alias("roc_auc"))
+    out = agg.select(*by, F.round(safe_div(F.col("num"), F.col("P").cast("double") * F.col("N") * 2.0, None), 9)
+                     .alias("roc_auc"))
+    rows = out.collect()
+    counts.unpersist()
+    return df.sparkSession.createDataFrame(rows, out.schema)

@@ -39,8 +39,10 @@ def score_sql(model: str) -> str:
     z = (f"({_d(b0)} + {_d(b1)} * (duration / {_d(1e5)}) + {_d(b2)} * (discount * {_d(10)}) "
          f"+ {_d(b3)} * (tax * {_d(10)}) + {_d(b4)} * (campaign / {_d(50)}) "
          f"+ {_d(b5)} * (previous / {_d(7)}))")
-    # rounded to 10 places so both engines see the same value (and ties)
-    return f"ROUND({_d(1)} / ({_d(1)} + exp(-{z})), 10)"
+    # quantised to 1e-10 so both engines see the same value (and ties);
+    # floor arithmetic instead of ROUND, which is a decimal op per row
+    p = f"({_d(1)} / ({_d(1)} + exp(-{z})))"
+    return f"(floor({p} * {_d(1e10)} + {_d(0.5)}) / {_d(1e10)})"
 
 
 def scored_contacts(spark: SparkSession, sf_dir: str, extra: list[str] | None = None,
