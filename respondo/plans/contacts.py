@@ -76,7 +76,8 @@ def contacts(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
                                    nat.n_regionkey == reg.r_regionkey)
                 cust = cust.join(sized_broadcast(nat, 10_000),
                                  cust.c_nationkey == nat.n_nationkey)
-            dim = dim.join(cust, dim.o_custkey == cust.c_custkey)
+            dim = dim.join(broadcast_by_size(cust, [load(spark, sf_dir, "customer")]),
+                           dim.o_custkey == cust.c_custkey)
         # the dimension side has one row per order (foreign keys), so the
         # orders (+ customer) files bound its size; without that bound the
         # planner could pick the fact table as broadcast side

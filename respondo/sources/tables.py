@@ -13,18 +13,33 @@ TABLES = (
 ).split()
 
 
+_LOADED: dict[tuple, DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table; Catalyst pushes filters and prunes columns into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Scan one table; Catalyst pushes filters and prunes columns into it.
+    The file listing and footer read happen once per session and path (the
+    inputs are immutable), not on every query."""
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    if key not in _LOADED:
+        _LOADED[key] = spark.read.parquet(table_path(sf_dir, name))
+    return _LOADED[key]
+
+
+_FITS: dict[tuple, bool] = {}
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     Reads at most ``max_rows + 1`` rows (a LIMIT under the count), so the
-    check costs O(max_rows) even when the input turns out to be huge.
+    check costs O(max_rows) even when the input turns out to be huge. The
+    answer is remembered per session and plan (inputs are immutable).
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _FITS:
+        _FITS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _FITS[key]
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
