@@ -1,8 +1,8 @@
 """Per-row explanations as arrays of structs, exploded to long rows.
 
 Each input row yields a fixed, small number of output rows (no group is
-ever gathered); ordering inside a row uses ``array_sort`` with a
-comparator, which stays inside the projection (no window, no shuffle).
+ever gathered); ranking inside a row is arithmetic over the row's own
+values, inside the projection (no window, no shuffle).
 """
 
 from __future__ import annotations
@@ -73,11 +73,23 @@ def factor_ranking(df: DataFrame, key: list[str]) -> DataFrame:
         _ranked("euribor3m", F.when(eu > 4.0, dbl(0.45)).otherwise(dbl(0.25)),
                 F.when(eu > 4.0, "positive").otherwise("neutral"), 5),
     )
-    ordered = F.array_sort(items, lambda a, b: F.when(
-        a.importance > b.importance, -1).when(a.importance < b.importance, 1).otherwise(
-        a.ordinal - b.ordinal))
-    return df.select(*key, F.posexplode(ordered).alias("pos", "f")) \
-        .select(*key, (F.col("pos") + 1).alias("rank"), "f.factor", "f.importance", "f.impact")
+    # stable descending rank: 1 + number of items ahead (higher importance,
+    # or equal importance and earlier) -- comparisons of the row's own
+    # values on materialised columns, no sort and no window
+    n = 6
+    cols = df.select(*key, *[items[i]["importance"].alias(f"_imp{i}") for i in range(n)],
+                     *[items[i]["impact"].alias(f"_impact{i}") for i in range(n)],
+                     *[items[i]["factor"].alias(f"_factor{i}") for i in range(n)])
+    imp = [F.col(f"_imp{i}") for i in range(n)]
+    ranks = []
+    for i in range(n):
+        ahead = [F.when((imp[j] > imp[i]) | ((imp[j] == imp[i]) & F.lit(j < i)), 1).otherwise(0)
+                 for j in range(n) if j != i]
+        ranks.append(F.lit(1) + sum(ahead[1:], ahead[0]))
+    ranked = F.array(*[F.struct(ranks[i].alias("rank"), F.col(f"_factor{i}").alias("factor"),
+                                imp[i].alias("importance"), F.col(f"_impact{i}").alias("impact"))
+                       for i in range(n)])
+    return cols.select(*key, F.inline(ranked))
 
 
 def interaction_flags(df: DataFrame, key: list[str]) -> DataFrame:

@@ -55,16 +55,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-# parquet bytes (compressed) below which a dimension side is broadcast
-BROADCAST_FILE_BYTES = 32 * 1024 * 1024
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes (-1 disables)."""
+    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        return int(v)
+    except ValueError:  # e.g. "10MB"
+        units = {"b": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30}
+        num = "".join(ch for ch in v if ch.isdigit())
+        unit = v[len(num):].strip().lower() or "b"
+        return int(num) * units.get(unit, 1)
 
 
 def broadcast_by_size(side: DataFrame, bounded_by: list[DataFrame],
-                      max_bytes: int = BROADCAST_FILE_BYTES) -> DataFrame:
+                      max_bytes: int | None = None) -> DataFrame:
     """Broadcast ``side`` when the base tables that bound its size (e.g.
     ``orders`` for ``orders JOIN customer`` on a foreign key) are proven
-    small by their file sizes; otherwise leave the choice to Catalyst/AQE
-    (a shuffle join at scale). A join's own estimate is a product of its
-    inputs, hence the base-table bound."""
+    small by their file sizes, measured against the session's broadcast
+    threshold; otherwise leave the choice to Catalyst/AQE (a shuffle join
+    at scale). A join's own estimate is a product of its inputs, hence the
+    base-table bound."""
+    limit = broadcast_limit(side.sparkSession) if max_bytes is None else max_bytes
     total = sum(estimated_bytes(b) for b in bounded_by)
-    return F.broadcast(side) if total <= max_bytes else side
+    return F.broadcast(side) if 0 <= total <= limit else side
