@@ -78,15 +78,6 @@ def q_grid_search_cv(spark, sf):
     return out.withColumn("is_best", F.row_number().over(w) == 1)
 
 
-# The reference's random-search space, in Spark GBT terms.
-GBT_SPACE = {
-    "maxIter": ("int", 50, 500),
-    "maxDepth": ("int", 3, 15),
-    "stepSize": ("uniform", 0.01, 0.3),
-    "subsamplingRate": ("uniform", 0.6, 0.4),
-    "minInstancesPerNode": ("int", 1, 10),
-    "minInfoGain": ("uniform", 0.0, 5.0),
-}
 # The registered check draws fewer, smaller settings than the library
 # default (100 draws) so that the whole query catalog stays runnable.
 CHECK_SPACE = {"maxIter": ("int", 5, 20), "maxDepth": ("int", 2, 5),
@@ -98,8 +89,8 @@ CHECK_DRAWS = 4
 def q_random_search_cv(spark, sf):
     prep = _prepared(spark, sf)
     est = models.gbt()
-    maps = models.sample_params(est, CHECK_SPACE, CHECK_DRAWS, seed=42)
-    _, results = models.grid_search(est, maps, _train(prep))
+    _, results = models.random_search(_train(prep), est, CHECK_SPACE, CHECK_DRAWS, seed=42)
+    maps = [pm for pm, _ in results]
     rows = [(i, {p.name: float(v) for p, v in pm.items()}, float(f1))
             for i, (pm, f1) in enumerate(results)]
     out = spark.createDataFrame(rows, "draw int, params map<string,double>, mean_f1 double")

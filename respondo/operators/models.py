@@ -181,6 +181,29 @@ def _per_fold(fn, folds: int, parallelism: int = 4) -> list:
     return parallel_map(fn, range(folds), parallelism)
 
 
+# The reference's random-search space, in Spark GBT terms
+# (n_estimators -> maxIter, max_depth -> maxDepth, learning_rate -> stepSize,
+# subsample -> subsamplingRate, min_child_weight -> minInstancesPerNode,
+# gamma -> minInfoGain).
+GBT_SPACE = {
+    "maxIter": ("int", 50, 500),
+    "maxDepth": ("int", 3, 15),
+    "stepSize": ("uniform", 0.01, 0.3),
+    "subsamplingRate": ("uniform", 0.6, 0.4),
+    "minInstancesPerNode": ("int", 1, 10),
+    "minInfoGain": ("uniform", 0.0, 5.0),
+}
+
+
+def random_search(train: DataFrame, estimator=None, space: dict | None = None,
+                  n_iter: int = 100, seed: int = 42, parallelism: int = 4):
+    """Randomised search (default: GBT over the reference's space, 100
+    draws, the training split's fold column, positive-class F1)."""
+    est = estimator or gbt()
+    maps = sample_params(est, space or GBT_SPACE, n_iter, seed)
+    return grid_search(est, maps, train, parallelism)
+
+
 def cv_scores(estimator, train: DataFrame, folds: int = 5) -> list[float]:
     """Positive-class F1 of each fold (fit on the others)."""
     def one(k):
