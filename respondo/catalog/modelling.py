@@ -90,7 +90,6 @@ def q_random_search_cv(spark, sf):
     prep = _prepared(spark, sf)
     est = models.gbt()
     _, results = models.random_search(_train(prep), est, CHECK_SPACE, CHECK_DRAWS, seed=42)
-    maps = [pm for pm, _ in results]
     rows = [(i, {p.name: float(v) for p, v in pm.items()}, float(f1))
             for i, (pm, f1) in enumerate(results)]
     out = spark.createDataFrame(rows, "draw int, params map<string,double>, mean_f1 double")
