@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from respondo.catalog.registry import register
 from respondo.catalog.segments import SEGMENT_COLUMNS, _segment_rates_sql
 from respondo.functions.scalar import coerce_numeric, r6
-from respondo.operators import features, metrics, models, profile, splits
+from respondo.operators import features, models, profile, splits
 from respondo.operators.segments import segment_response_rate
 from respondo.plans.contacts import KEY, contacts, with_contacts
 from respondo.session import scratch_path

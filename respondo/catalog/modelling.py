@@ -13,8 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from respondo.catalog.registry import register
-from respondo.functions.scalar import r6
-from respondo.operators import metrics, models
+from respondo.operators import models
 from respondo.plans.contacts import KEY, contacts
 
 NUMERIC = ["duration", "campaign", "previous", "pdays", "discount", "tax", "totalprice",

@@ -7,11 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from respondo.catalog.registry import register
-from respondo.functions.scalar import dbl, pct, r6, sigmoid
+from respondo.functions.scalar import pct, r6, sigmoid
 from respondo.operators import features, profile, rules, splits, thresholds
 from respondo.operators.segments import segment_response_rate
-from respondo.plans.contacts import (CATEGORICAL, DOMAINS, KEY, NUMERIC, ROLES, contacts,
-                                     with_contacts)
+from respondo.plans.contacts import DOMAINS, KEY, NUMERIC, ROLES, contacts, with_contacts
 from respondo.plans.customers import CUSTOMERS_SQL, customers
 from respondo.plans.documents import LABELLED_SQL, labelled_documents
 from respondo.sources.tables import load
