@@ -42,9 +42,14 @@ def _export(spark, sf, sep: str) -> str:
     return path
 
 
+# integer columns back to their stored types
+INT_TYPES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint",
+             "l_linenumber": "int"}
+
+
 def _typed(df):
     c = coerce_columns(df, NUM_COLS)
-    return c.select(*[F.col(x).cast("bigint").alias(x) if x in INT_COLS else F.col(x)
+    return c.select(*[F.col(x).cast(INT_TYPES[x]).alias(x) if x in INT_TYPES else F.col(x)
                       for x in EXPORT_COLS])
 
 

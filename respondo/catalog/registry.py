@@ -14,6 +14,25 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _filtered_counts(sql: str) -> str:
+    """``count_if(cond)`` -> ``(COUNT(*) FILTER (WHERE cond))``: DuckDB's
+    count_if is HUGEINT while the filtered count is BIGINT, like Spark's."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(token)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _filtered_counts(sql[j + len(token):k - 1])
+        out.append(f"(COUNT(*) FILTER (WHERE {inner}))")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     """Register ``fn`` under ``name``; ``sql`` is its exact oracle (omit for
     operators with no SQL form, which get a rows-only check)."""
@@ -22,6 +41,6 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query id {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _filtered_counts(sql)
         return fn
     return deco

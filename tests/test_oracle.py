@@ -19,8 +19,10 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, duck, name):
-    from tools.oracle_check import compare
+    from tools.oracle_check import compare, compare_types
     df = QUERIES[name](spark, SF_SMALL)
+    ok, msg = compare_types(df, duck, ORACLE[name])
+    assert ok, msg
     ok, msg = compare(df, duck.execute(ORACLE[name]))
     assert ok, msg
 
