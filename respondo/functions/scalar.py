@@ -70,22 +70,6 @@ def coerce_numeric(x: ColumnOrName) -> Column:
     return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
 
 
-def threshold_grid(start: float, stop: float, step: float) -> list[float]:
-    """``numpy.arange`` values: ``start + i * step`` while below ``stop``
-    (same float rounding, e.g. 0.15000000000000002)."""
-    n = 0
-    out = []
-    while start + n * step < stop:
-        out.append(start + n * step)
-        n += 1
-    return out
-
-
-def grid_index_count(n: int) -> Column:
-    """``sequence(0, n-1)`` as an array column (exploded by callers)."""
-    return F.sequence(F.lit(0), F.lit(n - 1))
-
-
 def first_match(conds: Iterable[tuple[Column, object]], default=None) -> Column:
     """Chained ``CASE WHEN`` in the given order (first true wins)."""
     expr = None
