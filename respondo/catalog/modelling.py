@@ -8,6 +8,8 @@ split through the distributed metric operators.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -89,9 +91,9 @@ def q_random_search_cv(spark, sf):
     prep = _prepared(spark, sf)
     est = models.gbt()
     _, results = models.random_search(_train(prep), est, CHECK_SPACE, CHECK_DRAWS, seed=42)
-    rows = [(i, {p.name: float(v) for p, v in pm.items()}, float(f1))
+    rows = [(i, json.dumps({p.name: float(v) for p, v in pm.items()}, sort_keys=True), float(f1))
             for i, (pm, f1) in enumerate(results)]
-    out = spark.createDataFrame(rows, "draw int, params map<string,double>, mean_f1 double")
+    out = spark.createDataFrame(rows, "draw int, params string, mean_f1 double")
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_f1"), "draw")
     return out.withColumn("is_best", F.row_number().over(w) == 1)
 
