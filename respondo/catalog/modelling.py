@@ -138,8 +138,11 @@ def _base_scores(prep):
     """Test-split scores of each base model, wide by key."""
     train = _train(prep)
     wide = prep.frame.select(*KEY, "split", F.col(models.LABEL).cast("int").alias("y"))
-    for name, est in _base_models(prep).items():
-        p = est.fit(train).transform(prep.frame)
+    bases = list(_base_models(prep).items())
+    # the base models are independent fits: submitted together
+    fitted = models.parallel_map(lambda nb: nb[1].fit(train), bases)
+    for (name, _), model in zip(bases, fitted):
+        p = model.transform(prep.frame)
         wide = wide.join(p.select(*KEY, models.positive_score(p).alias(f"p_{name}"),
                                   F.col("prediction").cast("int").alias(f"v_{name}")), KEY)
     return wide
@@ -175,8 +178,10 @@ def q_stacking(spark, sf):
     train = _train(prep)
     bases = _base_models(prep)
     oof = train.select(*KEY, models.LABEL)
-    for name, est in bases.items():
-        oof = oof.join(models.out_of_fold(est, train, KEY, 5, f"p_{name}"), KEY)
+    parts = models.parallel_map(
+        lambda nb: models.out_of_fold(nb[1], train, KEY, 5, f"p_{nb[0]}"), list(bases.items()))
+    for part in parts:
+        oof = oof.join(part, KEY)
     names = [f"p_{n}" for n in bases]
     meta_train = models.stacked_frame(oof, KEY, names)
     from pyspark.ml.classification import LogisticRegression
