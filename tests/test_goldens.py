@@ -232,3 +232,20 @@ def test_exact_percentiles_equal_spark_percentile(spark, accuracy, max_band):
         for c in ("a", "b"):
             for i, v in enumerate(r[c]):
                 assert got[(r.g, c, i)] == pytest.approx(v, rel=0, abs=1e-12)
+
+
+def test_threshold_counts_match_brute_force_with_ties_on_grid(spark):
+    grid = thresholds.arange(*thresholds.PROFIT_GRID)
+    rnd = random.Random(9)
+    # scores drawn partly exactly on grid values (ties with the thresholds)
+    rows = [((rnd.choice(grid) if rnd.random() < 0.4 else rnd.random()), rnd.randint(0, 1))
+            for _ in range(2000)]
+    df = spark.createDataFrame(rows, "score double, y int")
+    got = {r.threshold_idx: (r.tp, r.fp, r.tn, r.fn)
+           for r in thresholds.threshold_counts(df, grid).collect()}
+    for i, t in enumerate(grid):
+        tp = sum(1 for s, y in rows if s >= t and y == 1)
+        fp = sum(1 for s, y in rows if s >= t and y == 0)
+        tn = sum(1 for s, y in rows if s < t and y == 0)
+        fn = sum(1 for s, y in rows if s < t and y == 1)
+        assert got[i] == (tp, fp, tn, fn)
