@@ -41,14 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written stage tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster's shared store). Only
-    when it is unset (local tests) a temporary folder is created and
-    registered, so ``DataFrame.checkpoint`` works either way.
+    in local mode, when it is unset (tests), a temporary folder is created
+    and registered; on a cluster an unset value is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive executor loss
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         root = tempfile.mkdtemp(prefix="respondo-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:
