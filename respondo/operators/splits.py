@@ -44,11 +44,12 @@ def stratified_split(df: DataFrame, key: list[str], target: str = "y",
     """Exact stratified split: in each class the ``floor(test_frac * n_c +
     0.5)`` rows with the smallest ``(hash, key)`` form the test set.
 
-    Scalable two-level selection instead of a class-wide window (a class may
-    be a third of the table): (1) counts per (class, coarse hash bucket),
-    at most ``2**coarse_bits`` rows per class; (2) a running sum over those
-    counts finds each class's boundary bucket; (3) only rows of the boundary
-    bucket are ranked exactly. Rows below it are test, above it train.
+    No class-wide window (a class may be a third of the table):
+    (1) counts per (class, coarse hash bucket), at most ``2**coarse_bits``
+    rows per class, and a running sum over them find each class's boundary
+    bucket; (2) only the rows of the boundary buckets are ranked, giving one
+    cutoff ``(hash, key)`` per class (a few numbers on the driver); (3) the
+    split itself is a projection against the broadcast cutoff table.
     """
     h = key_hash(key)
     shift = 32 - coarse_bits
@@ -61,22 +62,23 @@ def stratified_split(df: DataFrame, key: list[str], target: str = "y",
         F.sum("_n").over(wcum).alias("_cum"),
         F.floor(F.sum("_n").over(wcls) * F.lit(float(test_frac)) + F.lit(0.5)).alias("_target"))
     # the boundary bucket: first bucket whose running count reaches the target
-    bound = per.where((F.col("_cum") >= F.col("_target")) & (F.col("_cum") - F.col("_n") < F.col("_target"))) \
-        .select(target, F.col("_b").alias("_bb"), (F.col("_target") - (F.col("_cum") - F.col("_n")))
-                .alias("_need"))
-    # classes with a zero target have no boundary: everything is train.
-    # ``bound`` has one row per class, so it is broadcast; the big side is
-    # never shuffled except the boundary bucket's rows.
-    j = base.join(F.broadcast(bound), target, "left")
-    cols = [c for c in df.columns]
+    bound = per.where((F.col("_cum") >= F.col("_target"))
+                      & (F.col("_cum") - F.col("_n") < F.col("_target"))) \
+        .select(target, F.col("_b").alias("_bb"),
+                (F.col("_target") - (F.col("_cum") - F.col("_n"))).alias("_need"))
+    # one row per class: rank the boundary bucket's rows, keep the last test row
     wr = Window.partitionBy(target).orderBy("_h", *key)
-    inner = j.where(F.col("_b") == F.col("_bb")) \
-        .withColumn("_in_test", F.row_number().over(wr) <= F.col("_need"))
-    outer = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))) \
-        .withColumn("_in_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    res = inner.select(*cols, "_in_test").unionByName(outer.select(*cols, "_in_test"))
-    return res.withColumn(out, F.when(F.col("_in_test"), "test").otherwise("train")) \
-        .drop("_in_test")
+    cut = base.join(F.broadcast(bound), target).where(F.col("_b") == F.col("_bb")) \
+        .withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need")) \
+        .select(target, "_bb", F.struct("_h", *key).alias("_cut"))
+    cut_rows = cut.collect()
+    cuts = df.sparkSession.createDataFrame(cut_rows, cut.schema)
+    j = base.join(F.broadcast(cuts), target, "left")
+    in_test = (F.col("_b") < F.col("_bb")) | (
+        (F.col("_b") == F.col("_bb")) & (F.struct("_h", *key) <= F.col("_cut")))
+    # classes with a zero target have no cutoff: all train
+    return j.select(*df.columns, F.when(F.coalesce(in_test, F.lit(False)), "test")
+                    .otherwise("train").alias(out))
 
 
 def fold_ids(df: DataFrame, key: list[str], folds: int = 5, out: str = "fold") -> DataFrame:
