@@ -37,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_position(df: DataFrame, file_col: str, row_col: str) -> DataFrame:
+def scan_positions(df: DataFrame, file_col: str, row_col: str) -> DataFrame:
     """Add the file and the row number inside it. They come from the scan
     when ``df`` reads Parquet files; otherwise ``df`` is staged first. The
     position of a row never changes, however often the files are read."""
@@ -52,6 +52,24 @@ def with_position(df: DataFrame, file_col: str, row_col: str) -> DataFrame:
     return positions(stage(df, "positions"))
 
 
+def numbered(df: DataFrame, name: str = "row_number") -> tuple[DataFrame, int]:
+    """Add the global row number (0, 1, ... without gaps, by file name and
+    place in the file) as ``name``, and count the rows. One counting job
+    reads no column; the driver sees one row per file, as in the file
+    listing it holds anyway. No row moves."""
+    spark = df.sparkSession
+    placed = scan_positions(df, "__file", "__row")
+    per_file = sorted((r[0], r[1]) for r in placed.groupBy("__file").count().collect())
+    firsts, total = [], 0
+    for path, n in per_file:
+        firsts.append((path, total))
+        total += n
+    first = spark.createDataFrame(firsts, "__file string, __first long")
+    return (placed.join(F.broadcast(first), "__file")
+            .withColumn(name, F.col("__first") + F.col("__row"))
+            .drop("__file", "__row", "__first")), total
+
+
 def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> Broadcast:
     """Broadcast a vocabulary file. Its size does not depend on the data and
     is checked against ``max_bytes``. The value is a dict; a worker keeps

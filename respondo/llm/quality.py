@@ -113,7 +113,7 @@ def rules() -> dict[str, Column]:
         "short_words": chars < 2 * n,
         "long_words": chars > 20 * n,
         "symbols": 10 * symbols > n,
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "duplicate_lines": 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"),
         "few_letters": 100 * F.col("n_alpha_words") < 60 * n,
     }
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import byte_bpe, packing, quality, token_counts
+from respondo.llm import byte_bpe, minhash, packing, quality, token_counts
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -35,6 +35,12 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = broadcast_file(spark, public_tokenizers.path("word_bpe_49k.json"))
