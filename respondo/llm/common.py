@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respondo.session import scratch_path, shared_dir
@@ -54,20 +54,18 @@ def scan_positions(df: DataFrame, file_col: str, row_col: str) -> DataFrame:
 
 def numbered(df: DataFrame, name: str = "row_number") -> tuple[DataFrame, int]:
     """Add the global row number (0, 1, ... without gaps, by file name and
-    place in the file) as ``name``, and count the rows. One counting job
-    reads no column; the driver sees one row per file, as in the file
-    listing it holds anyway. No row moves."""
-    spark = df.sparkSession
+    place in the file) as ``name``, and count the rows. The counting job
+    reads no column; what is broadcast has one row per file, like the file
+    listing the driver holds anyway. No row moves."""
     placed = scan_positions(df, "__file", "__row")
-    per_file = sorted((r[0], r[1]) for r in placed.groupBy("__file").count().collect())
-    firsts, total = [], 0
-    for path, n in per_file:
-        firsts.append((path, total))
-        total += n
-    first = spark.createDataFrame(firsts, "__file string, __first long")
-    return (placed.join(F.broadcast(first), "__file")
+    per_file = stage(placed.groupBy(F.col("__file").alias("__path")).agg(
+        F.count("*").alias("__n")), "files")
+    total = per_file.agg(F.sum("__n")).first()[0] or 0
+    earlier = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+    first = per_file.select("__path", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    return (placed.join(F.broadcast(first), F.col("__file") == F.col("__path"))
             .withColumn(name, F.col("__first") + F.col("__row"))
-            .drop("__file", "__row", "__first")), total
+            .drop("__file", "__row", "__first", "__path", "__n")), total
 
 
 def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> Broadcast:

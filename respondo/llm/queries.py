@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import byte_bpe, minhash, packing, quality, token_counts
+from respondo.llm import byte_bpe, minhash, packing, quality, sharding, token_counts
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -55,3 +55,13 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes("base")).alias("base_failed"),
         (quality.passes("base") & quality.passes("v1")).alias("kept"), "failed")
+
+
+@query
+def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharding.shard(docs, shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number")
