@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import byte_bpe, minhash, packing, quality, sharding, token_counts
+from respondo.llm import byte_bpe, minhash, packing, quality, sharding, token_counts, warc
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -65,3 +65,9 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@query
+def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
