@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import byte_bpe, minhash, packing, quality, sharding, token_counts, warc
+from respondo.llm import byte_bpe, minhash, packing, quality, secrets, sharding, token_counts, warc
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -41,6 +41,15 @@ def op4_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", *[secrets.count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("found").alias("spans"))
+
+
 @query
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = broadcast_file(spark, public_tokenizers.path("word_bpe_49k.json"))
