@@ -79,10 +79,11 @@ def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 64 << 20) ->
     return spark.sparkContext.broadcast({"file": data})
 
 
-def text_array(column) -> pa.Array:
-    """A string column as one array; null texts become empty."""
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(arr.cast(pa.large_string()), "")
+def text_array(column: pa.Array) -> pa.Array:
+    """A string column as an array of its own; null texts become empty. The
+    rows are copied: some string kernels read a slice's offsets wrongly."""
+    own = column.take(pa.array(np.arange(len(column))))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def slices(batch: pa.RecordBatch, column: str,

@@ -9,18 +9,29 @@ written table; nothing is gathered on the driver but the number of changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondo.llm.common import stage
 
 
+def fewer(links: DataFrame) -> DataFrame:
+    """The same components with fewer links (a < b): a node keeps the link
+    to its smallest neighbour, which its other smaller neighbours get."""
+    least = F.min("a").over(Window.partitionBy("b")).alias("least")
+    near = stage(links.select("a", "b", least), "near-links")
+    return (near.select(F.col("least").alias("a"), "b")
+            .union(near.where("a <> least").select("least", "a")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> (node, component): the smallest node reachable,
     for every node with a link. Null ends and links to itself are ignored."""
-    real = links.where("a is not null and b is not null and a <> b")
+    real = links.where("a is not null and b is not null and a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    real = fewer(fewer(real))
     both = stage(real.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                 .union(real.select("b", "a")).distinct(), "links")
+                 .union(real.select("b", "a")), "links")
     labels = stage(both.groupBy(F.col("u").alias("node"))
                    .agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
     while True:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import byte_bpe, minhash, packing, quality, secrets, sharding, token_counts, warc
+from respondo.llm import (byte_bpe, lm_scores, minhash, packing, quality, secrets, sharding,
+                          token_counts, warc)
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -41,6 +42,12 @@ def op4_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op5_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return lm_scores.score(table(spark, sf_dir, "documents"), F.crc32(name) % 7 == 2)
+
+
 @query
 def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
