@@ -46,3 +46,15 @@ def components(links: DataFrame) -> DataFrame:
         if not after.where("moved").limit(1).count():
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, id, component, ...) with ``component_id`` (the smallest
+    id in the component; null if it has none), ``kept`` (the row's id is
+    that) and ``first`` (true for exactly one row of each component)."""
+    heads = stage(rows.groupBy("component").agg(
+        F.min("id").alias("component_id"),
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("head")), "heads")
+    return (rows.join(heads, "component")
+            .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+            .withColumn("first", F.col("row") == F.col("head.row")).drop("head"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from respondo.llm.blocks import in_blocks
 from respondo.llm.common import gather, numbered, slices, stage, sums, text_array, word_codes
-from respondo.llm.components import components
+from respondo.llm.components import components, named
 
 ROWS, BANDS = 6, 24
 VALUES = ROWS * BANDS          # two of each permutation
@@ -274,13 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     # every row's component is named by its class's representative
     by_class = (classes.join(linked, F.col("rep") == F.col("node"), "left")
                 .select(*same, F.coalesce("component", "rep").alias("component")))
-    named = (all_rows.select("row", "id", *same).join(stage(by_class, "class-components"), same, "left")
-             .select("row", "id", "n_shingles", F.coalesce("component", "row").alias("component")))
-    named = stage(named, "rows")
-    heads = stage(named.groupBy("component").agg(
-        F.min("id").alias("component_id"),
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("head")), "heads")
-    return named.join(heads, "component").select(
-        "row", F.col("id").alias("doc_id"), "n_shingles", "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
-        (F.col("row") == F.col("head.row")).alias("first"))
+    rows = (all_rows.select("row", "id", *same).join(stage(by_class, "class-components"), same, "left")
+            .select("row", "id", "n_shingles", F.coalesce("component", "row").alias("component")))
+    return named(stage(rows, "rows")).select("row", F.col("id").alias("doc_id"), "n_shingles",
+                                             "component_id", "kept", "first")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import (byte_bpe, lm_scores, minhash, packing, quality, secrets, sharding,
-                          token_counts, warc)
+from respondo.llm import (byte_bpe, embedding_dedup, lm_scores, minhash, packing, quality, secrets,
+                          sharding, token_counts, warc)
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
@@ -25,6 +25,12 @@ def op1_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, capacity=2048, separator=0)
 
 
+@query
+def op2_pruned_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9).select(
+        "vec_id", "n_links", "component_id", "kept")
+
+
 @query
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = broadcast_file(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
