@@ -1,22 +1,64 @@
 """A corpus pipeline over ``documents``: stages that each call one operator.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is
-written as Parquet and read again as the next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's documents. All but
+the last return the columns of ``docs``. Null and empty texts, repeated
+rows and empty tables behave as each operator says; columns beyond those of
+``documents`` pass through to the last stage.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from respondo.llm import quality
+from respondo.llm import minhash, packing, quality, secrets
+from respondo.llm.common import broadcast_file, numbered, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule policy rejects go."""
-    book = quality.ledger(docs)
-    return book.where(quality.passes("base") & quality.passes("v1")).select(*docs.columns)
+    return (quality.ledger(docs).where(quality.passes("v1"))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-STAGES = [("quality rules", quality_rules)]
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLE: dict[str, str] = {}
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles,
+    similarity 0.8 or more."""
+    groups = minhash.near_duplicates(docs, percent=80, words=5)
+    gone = groups.where(~F.col("first")).select(F.col("row").alias("__gone"))
+    rows, _ = numbered(docs, "__row")
+    return (rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    found = secrets.find(docs)
+    clean = secrets.redacted("text", "found")
+    changed = F.size("found") > 0
+    return found.select(*[
+        clean.alias("text") if c == "text"
+        else F.when(changed, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+        if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, packed into sequences of 2048 ids."""
+    vocabulary = broadcast_file(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary, capacity=2048, separator=0)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates),
+          ("secret scan", secret_scan), ("best-fit packing", best_fit_packing)]
+
+#: SQL cannot express the later stages; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

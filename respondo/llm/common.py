@@ -57,15 +57,15 @@ def numbered(df: DataFrame, name: str = "row_number") -> tuple[DataFrame, int]:
     place in the file) as ``name``, and count the rows. The counting job
     reads no column; what is broadcast has one row per file, like the file
     listing the driver holds anyway. No row moves."""
-    placed = scan_positions(df, "__file", "__row")
+    placed = scan_positions(df, "__file", "__place")
     per_file = stage(placed.groupBy(F.col("__file").alias("__path")).agg(
         F.count("*").alias("__n")), "files")
     total = per_file.agg(F.sum("__n")).first()[0] or 0
     earlier = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
     first = per_file.select("__path", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
     return (placed.join(F.broadcast(first), F.col("__file") == F.col("__path"))
-            .withColumn(name, F.col("__first") + F.col("__row"))
-            .drop("__file", "__row", "__first", "__path", "__n")), total
+            .withColumn(name, F.col("__first") + F.col("__place"))
+            .drop("__file", "__place", "__first", "__path", "__n")), total
 
 
 def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> Broadcast:

@@ -43,7 +43,7 @@ from respondo.llm.minhash import Union
 
 SAMPLE, MAX_CENTRES, AUDIT = 20_000, 4096, 200
 UNIT, VISITORS = 1500, 6000       # vectors in a unit, searches in one task
-DEGREE, CANDIDATES, ALPHA = 16, 64, 1.2
+DEGREE, BACK, FAN, CANDIDATES, ALPHA = 16, 16, 8, 64, 1.2
 BEAM, BEYOND = 12, 0.08           # width of the walk; how far below the range it expands
 
 
@@ -85,7 +85,7 @@ def assigned(vectors: DataFrame, fitted: Broadcast, dimension: int, visits: int)
 
 def pruned(x: np.ndarray) -> np.ndarray:
     """Adjacency lists (padded with -1): for each vector at most ``DEGREE``
-    robustly pruned neighbours and as many that chose it."""
+    robustly pruned neighbours, at most ``BACK`` that chose it, and at most ``FAN`` others."""
     n = len(x)
     k = min(CANDIDATES, n - 1)
     out = np.full((n, DEGREE), -1, np.int64)
@@ -112,14 +112,22 @@ def pruned(x: np.ndarray) -> np.ndarray:
             alive[rows, pick] = False
     source, slot = np.nonzero(out >= 0)
     target = out[source, slot]
+    # ways back, so that every vector can be reached: first to those whose
+    # nearest neighbour this is, then by closeness
     closeness = np.einsum("ij,ij->i", x[source], x[target])
-    order = np.lexsort((-closeness, target))
+    order = np.lexsort((-closeness, slot, target))
     source, target = source[order], target[order]
     rank = np.arange(len(target)) - np.searchsorted(target, target)
-    back = np.full((n, DEGREE), -1, np.int64)
-    use = rank < DEGREE
+    back = np.full((n, BACK), -1, np.int64)
+    use = rank < BACK
     back[target[use], rank[use]] = source[use]
-    return np.concatenate([out, back], axis=1)
+    # a vector can be the nearest of very many: those beyond its list hang
+    # below others of the same kind, as a tree of bounded degree
+    late = ~use & (slot[order] == 0)
+    fan = np.full((n, FAN), -1, np.int64)
+    above = source[np.searchsorted(target, target[late]) + (rank[late] - BACK) // FAN]
+    fan[above, (rank[late] - BACK) % FAN] = source[late]
+    return np.concatenate([out, back, fan], axis=1)
 
 
 def graph_kernel(dimension: int):

@@ -18,9 +18,9 @@ The work, for n texts:
    what reaches the threshold is united.
 
 Buckets and clusters of any size are dealt in bounded blocks (``blocks``),
-without a cap on partners. A pair at similarity 0.85 shares no band with
-probability 1.2e-5, and less above it; everything behind the bands is
-exact but for 64-bit shingle hashes and the sketch bound (about 1e-9).
+without a cap on partners. A pair at the threshold shares no band with
+probability ``MISS`` or less, and far less above it; everything behind the
+bands is exact but for 64-bit shingle hashes and the sketch bound (1e-9).
 
 Defined results: a null or empty text, or one without words, has an empty
 set and links with nothing; equal texts and repeated rows link with each
@@ -31,6 +31,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,21 @@ from respondo.llm.blocks import in_blocks
 from respondo.llm.common import gather, numbered, slices, stage, sums, text_array, word_codes
 from respondo.llm.components import components, named
 
-ROWS, BANDS = 6, 24
-VALUES = ROWS * BANDS          # two of each permutation
 SLACK = 6.0                    # standard deviations below the threshold that a sketch may fall
 BUCKET_BLOCK = 256             # members of a bucket in one block
 SET_BLOCK, ROW_BLOCK = 200_000, 512  # shingles and sets of a cluster in one block
 
 
+MISS = 1.5e-5
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Values per band and bands (an even number of values in all)."""
+    rows = 6 if percent >= 85 else 5
+    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
+    return rows, bands + (rows * bands) % 2
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,47 +94,48 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], at
 
 
-def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(value: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
     """Smallest and largest hash under each permutation, a row per text."""
-    odd = mix(np.arange(1, VALUES // 2 + 1, dtype=np.uint64)) | np.uint64(1)
-    out = np.zeros((len(at) - 1, VALUES), np.uint64)
+    odd = mix(np.arange(1, values // 2 + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros((len(at) - 1, values), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         for k, a in enumerate(odd):
             h = value * a
             h ^= h >> np.uint64(32)
             h *= odd[k - 1]
-            # neighbours come from different permutations in every band
             out[full, k] = np.minimum.reduceat(h, at[full])
-            out[full, VALUES // 2 + k] = np.maximum.reduceat(h, at[full])
+            out[full, values // 2 + k] = np.maximum.reduceat(h, at[full])
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """One 64-bit key per band; the band's number is part of it."""
-    order = np.arange(VALUES).reshape(ROWS, BANDS).T  # band b takes values b, b + BANDS, ...
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
-    for k in range(ROWS):
+    order = np.arange(rows * bands).reshape(rows, bands).T  # band b takes values b, b + bands, ...
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), bands)).copy()
+    for k in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, order[:, k]])
     return key.view(np.int64)
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, per_band: int, n_bands: int) -> DataFrame:
     """(row, id, n_shingles, set_a, set_b, bands, sketch) of every text;
     ``set_a``/``set_b`` identify the shingle set."""
+    values = per_band * n_bands
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 value, at = shingles(text_array(rows.column("text")), words)
-                sig = signatures(value, at)
+                sig = signatures(value, at, values)
                 n = np.diff(at)
                 with np.errstate(over="ignore"):
                     a, b = sums(value, at), sums(mix(value + np.uint64(1)), at)
                 keys = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS),
-                    pa.array(band_keys(sig).reshape(-1)))
+                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands),
+                    pa.array(band_keys(sig, per_band, n_bands).reshape(-1)))
                 raw = (mix(sig) & np.uint64(255)).astype(np.uint8).tobytes()
-                sketch = pa.array([raw[i:i + VALUES] for i in range(0, len(raw), VALUES)], pa.binary())
+                sketch = pa.array([raw[i:i + values] for i in range(0, len(raw), values)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("row"), rows.column("id"), pa.array(n.astype(np.int64)),
                      pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys, sketch],
@@ -165,12 +175,12 @@ def forest(ids: np.ndarray, united: Union) -> pa.RecordBatch:
                                       ["a", "b"])
 
 
-def sketch_links(least: int):
+def sketch_links(least: int, values: int):
     """Kernel: unite members whose sketches agree in ``least`` values or more."""
     def kernel(left: pa.StructArray, right: pa.StructArray | None) -> Iterator[pa.RecordBatch]:
         parts = [left] if right is None else [left, right]
         ids = np.concatenate([p.field("member").to_numpy() for p in parts])
-        bits = [np.frombuffer(b"".join(p.field("sketch").to_pylist()), np.uint8).reshape(len(p), VALUES)
+        bits = [np.frombuffer(b"".join(p.field("sketch").to_pylist()), np.uint8).reshape(len(p), values)
                 for p in parts]
         united = Union(len(ids))
         for i in range(len(left)):
@@ -240,7 +250,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     row of each component)."""
     rows, _ = numbered(docs.select(F.col(id_col).cast("long").alias("id"),
                                    F.col(text_col).alias("text")), "row")
-    all_rows = stage(signed(rows.select("row", "id", "text"), words), "signatures")
+    per_band, bands = banding(percent)
+    values = per_band * bands
+    all_rows = stage(signed(rows.select("row", "id", "text"), words, per_band, bands), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
     classes = stage(all_rows.where("n_shingles > 0").groupBy(*same)
                     .agg(F.min("row").alias("rep")), "classes")
@@ -254,9 +266,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     met = stage(in_bands.join(stage(buckets, "buckets"), "grp"), "met")
     members = met.join(reps.select("row", "sketch"), "row").withColumnRenamed("row", "member")
     s = percent / 100
-    least = int(VALUES * s - SLACK * (VALUES * s * (1 - s)) ** 0.5)
+    least = int(values * s - SLACK * (values * s * (1 - s)) ** 0.5)
     likely = in_blocks(members.select("grp", "n_blocks", "member", "sketch"), ["sketch"],
-                       sketch_links(least), LINKS)
+                       sketch_links(least, values), LINKS)
     clusters = components(likely)
 
     sizes = (clusters.join(reps.select(F.col("row").alias("node"), "n_shingles"), "node")
