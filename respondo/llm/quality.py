@@ -49,8 +49,11 @@ def repeated_words(codes: np.ndarray, first: np.ndarray, distinct: int) -> np.nd
     number = window_codes(codes, max(1, distinct))[at] if len(at) else np.zeros(0, np.int64)
     order = np.argsort(number, kind="stable")  # texts stay in order among equal windows
     a, b = number[order], owner[order]
-    same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1]), [False]])
-    twice = at[order[same[1:] | same[:-1]]]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    again = np.zeros(len(a), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    twice = at[order[again]]
     covered = np.zeros(len(codes), bool)
     for k in range(3):
         covered[twice + k] = True

@@ -39,9 +39,10 @@ VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def chunks(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
+def chunks(records: DataFrame, payload: str, chunk: int | None = None) -> DataFrame:
     """Replace ``payload`` by rows ``chunk_no`` (from 0), ``n_chunks`` and
     ``data``; an empty or null payload has one empty chunk."""
+    chunk = chunk or CHUNK
     size = F.octet_length("__bytes")
     return (records.withColumn("__bytes", F.coalesce(F.encode(payload, "UTF-8"), F.lit(b""))).drop(payload)
             .withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(size / chunk).cast("int")))
