@@ -14,7 +14,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from respondo.catalog.registry import register
+from respondo.catalog import decisions  # noqa: F401  (its oracles are used below)
+from respondo.catalog.registry import ORACLE, register
 from respondo.catalog.segments import SEGMENT_COLUMNS, _segment_rates_sql
 from respondo.functions.scalar import coerce_numeric, r6
 from respondo.operators import features, models, profile, splits
@@ -63,7 +64,7 @@ def q_scan_delimited(spark, sf):
     return _typed(read_delimited(spark, _export(spark, sf, "\t")))
 
 
-@register("scan_delimiter_fallback")
+@register("scan_delimiter_fallback", EXPORT_SQL)
 def q_scan_delimiter_fallback(spark, sf):
     """A ';' file read without naming the separator: the header line
     decides it (tab is tried first, as in the reference)."""
@@ -97,7 +98,7 @@ def q_scan_intermediate(spark, sf):
     return store.read("segment_rates")
 
 
-@register("scan_with_fallback")
+@register("scan_with_fallback", with_contacts(f"SELECT {', '.join(KEY)}, y, duration FROM contacts"))
 def q_scan_with_fallback(spark, sf):
     """The selected-features stage was never written here, so the reader
     falls back to the raw contacts table."""
@@ -112,7 +113,10 @@ def _basic_features(spark, sf):
     return df.select(*KEY, "y", *features.standardize(params), *features.one_hot(vocab))
 
 
-@register("sink_stage_tables")
+@register("sink_stage_tables", with_contacts(
+    "SELECT COUNT(*) AS rows, 'preprocessed_basic' AS stage FROM contacts UNION ALL "
+    "SELECT COUNT(*), 'preprocessed_selected' FROM contacts UNION ALL "
+    "SELECT COUNT(DISTINCT y), 'class_balance' FROM contacts"))
 def q_sink_stage_tables(spark, sf):
     """Write the basic, selected and balanced-class stage tables; report
     what was read back."""
@@ -130,7 +134,7 @@ def q_sink_stage_tables(spark, sf):
     return out
 
 
-@register("sink_metrics_csv")
+@register("sink_metrics_csv", ORACLE["model_comparison"])
 def q_sink_metrics_csv(spark, sf):
     from respondo.catalog.decisions import q_model_comparison
     store = StageStore(spark)
@@ -140,7 +144,11 @@ def q_sink_metrics_csv(spark, sf):
                           "is_best boolean")
 
 
-@register("sink_test_split")
+@register("sink_test_split", with_contacts(
+    f"SELECT {', '.join(KEY)}, y, duration, pdays, job, 'test' AS split FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, " + ", ".join(KEY) + ") AS place, "
+    "FLOOR(COUNT(*) OVER (PARTITION BY y) * 0.2 + 0.5) AS wanted "
+    f"FROM (SELECT *, {splits.key_hash_sql(KEY)} AS h FROM contacts)) WHERE place <= wanted"))
 def q_sink_test_split(spark, sf):
     """The stratified test split is written on first use and read after."""
     store = StageStore(spark)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from respondo.catalog.registry import register
 from respondo.operators import models
 from respondo.plans.contacts import KEY, contacts
+from respondo.session import staged
 
 NUMERIC = ["duration", "campaign", "previous", "pdays", "discount", "tax", "totalprice",
            "acctbal"]
@@ -34,7 +35,6 @@ def _prepared(spark, sf, k_best=10):
     if key not in _PREPARED:
         df = contacts(spark, sf, ["y", *NUMERIC, *CATEGORICAL])
         prep = models.prepare(df, KEY, "y", NUMERIC, CATEGORICAL, k_best=k_best)
-        prep.frame = prep.frame.cache()
         _PREPARED[key] = prep
     return _PREPARED[key]
 
@@ -130,22 +130,22 @@ def q_calibrate_sigmoid(spark, sf):
 def _base_models(prep):
     return {"logistic_regression": models.logistic(prep.n_train),
             "decision_tree": models.tree(),
-            "random_forest": models.forest(num_trees=20),
-            "gradient_boosting": models.gbt(max_iter=20)}
+            "random_forest": models.forest(),
+            "gradient_boosting": models.gbt(),
+            "boosted_trees": models.boosted(),
+            "linear_svm": models.linear_svm(prep.n_train)}
+
+
+_FITTED: dict[int, dict] = {}
 
 
 def _base_scores(prep):
-    """Test-split scores of each base model, wide by key."""
-    train = _train(prep)
-    wide = prep.frame.select(*KEY, "split", F.col(models.LABEL).cast("int").alias("y"))
-    bases = list(_base_models(prep).items())
-    # the base models are independent fits: submitted together
-    fitted = models.parallel_map(lambda nb: nb[1].fit(train), bases)
-    for (name, _), model in zip(bases, fitted):
-        p = model.transform(prep.frame)
-        wide = wide.join(p.select(*KEY, models.positive_score(p).alias(f"p_{name}"),
-                                  F.col("prediction").cast("int").alias(f"v_{name}")), KEY)
-    return wide
+    """Scores (``p_``) and predictions (``v_``) of the six base models, which
+    are fitted once for voting and stacking."""
+    if id(prep) not in _FITTED:
+        _FITTED[id(prep)] = models.fit_all(_base_models(prep), _train(prep))
+    return models.with_scores(_FITTED[id(prep)], prep.frame).withColumn(
+        "y", F.col(models.LABEL).cast("int"))
 
 
 @register("vote_hard_models")
@@ -175,19 +175,13 @@ def q_stacking(spark, sf):
     """Out-of-fold base probabilities (5 folds) -> logistic meta-model;
     bases refitted on the whole training split score the test split."""
     prep = _prepared(spark, sf)
-    train = _train(prep)
     bases = _base_models(prep)
-    oof = train.select(*KEY, models.LABEL)
-    parts = models.parallel_map(
-        lambda nb: models.out_of_fold(nb[1], train, KEY, 5, f"p_{nb[0]}"), list(bases.items()))
-    for part in parts:
-        oof = oof.join(part, KEY)
     names = [f"p_{n}" for n in bases]
+    oof = models.out_of_fold_scores(bases, _train(prep), 5)
     meta_train = models.stacked_frame(oof, KEY, names)
     from pyspark.ml.classification import LogisticRegression
     meta = LogisticRegression(featuresCol="meta_features", labelCol=models.LABEL).fit(meta_train)
-    test = _base_scores(prep).withColumn(models.LABEL, F.col("y").cast("double"))
-    p = meta.transform(models.stacked_frame(test, KEY, names))
+    p = meta.transform(models.stacked_frame(_base_scores(prep), KEY, names))
     out = p.select("split", "y", models.positive_score(p).alias("score"),
                    F.col("prediction").cast("int").alias("pred"))
     return models.evaluate(out, "stacking")
@@ -202,7 +196,7 @@ def _importances(spark, prep, model):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     prep = _prepared(spark, sf, k_best=None)
-    rf = models.forest(num_trees=50, balanced=False).fit(_train(prep))
+    rf = models.forest(num_trees=100, balanced=False).fit(_train(prep))
     imp = _importances(spark, prep, rf)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "position")
     return imp.withColumn("rank", F.row_number().over(w))
@@ -213,7 +207,7 @@ def q_feature_set_comparison(spark, sf):
     """The same forest on the top 5 / 10 / 15 / 20 features by importance."""
     prep = _prepared(spark, sf, k_best=None)
     train = _train(prep)
-    rf = models.forest(num_trees=50, balanced=False).fit(train)
+    rf = models.forest(num_trees=100, balanced=False).fit(train)
     imp = rf.featureImportances.toArray().tolist()
     order = [n for _, n in sorted(zip(imp, prep.feature_names), key=lambda t: -t[0])]
     base = prep.frame.select(*KEY, "split", models.LABEL, *prep.feature_names)
@@ -236,28 +230,39 @@ def q_feature_set_comparison(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """F1 drop when one feature is permuted on the test split.
+    """F1 drop of every feature when it alone is permuted on the test split.
 
-    The permutation is a cyclic shift inside hash buckets (a window per
-    bucket, each a small slice of the rows), so no row order is gathered.
+    The permutation is one cyclic shift of the rows in the order of the key
+    hash, the same at every size: a window per hash range takes the next
+    row's values, and the last row of a range takes those of the next range's
+    first row. Only the number of ranges follows the row count.
     """
     from respondo.operators import splits
     prep = _prepared(spark, sf, k_best=None)
-    model = models.forest(num_trees=20, balanced=False).fit(_train(prep))
+    names = prep.feature_names
+    model = models.forest(num_trees=100, balanced=False).fit(_train(prep))
     test = prep.frame.where(F.col("split") == "test")
-    # at most ~50k rows per bucket whatever the table size (>= 64 buckets)
-    buckets = max(64, test.count() // 50_000)
-    test = test.withColumn("_h", splits.key_hash(KEY)).withColumn("_b", F.col("_h") % buckets)
-    base = models.evaluate(models.scored(model, test, KEY), "baseline", with_auc=False) \
+    ranges = max(1, test.count() // 50_000)
+    order = ["_h", *KEY]
+    test = test.withColumn("_h", splits.key_hash(KEY)).withColumn(
+        "_b", F.floor(F.col("_h") * ranges / splits.SPREAD[1]))
+    values = F.struct(*names)
+    firsts = test.groupBy("_b").agg(F.min(F.struct(*order, values.alias("v"))).alias("f"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding,
+                                                                  Window.unboundedFollowing)
+    # one row per range
+    after = firsts.select("_b", F.coalesce(
+        F.lead("f.v").over(Window.partitionBy(F.lit(0)).orderBy("_b")),
+        F.first("f.v").over(whole)).alias("_after"))
+    moved = F.lead(values).over(Window.partitionBy("_b").orderBy(*order))
+    shifted = staged(test.withColumn("_moved", moved).join(F.broadcast(after), "_b")
+                     .withColumn("_moved", F.coalesce("_moved", "_after")).drop("_after"), "shifted")
+    base = models.evaluate(models.scored(model, shifted, KEY), "baseline", with_auc=False) \
         .select(F.col("f1").alias("f1_base"))
-    w = Window.partitionBy("_b").orderBy("_h", *KEY)
-    wall = Window.partitionBy("_b").orderBy("_h", *KEY).rowsBetween(Window.unboundedPreceding,
-                                                                   Window.unboundedFollowing)
     results = None
-    for f in prep.feature_names[:8]:
-        shifted = test.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(wall)))
-        fr = VectorAssembler(inputCols=prep.feature_names, outputCol=models.FEATURES) \
-            .transform(shifted.drop(models.FEATURES))
+    for f in names:
+        one = shifted.withColumn(f, F.col(f"_moved.`{f}`")).drop(models.FEATURES)
+        fr = VectorAssembler(inputCols=names, outputCol=models.FEATURES).transform(one)
         m = models.evaluate(models.scored(model, fr, KEY), f, with_auc=False) \
             .select(F.col("model_name").alias("feature"), "f1")
         results = m if results is None else results.unionByName(m)

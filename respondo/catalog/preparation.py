@@ -105,7 +105,7 @@ def _onehot_sql(drop_first: bool = True) -> list[str]:
     out = []
     for c, vals in DOMAINS.items():
         for v in (vals[1:] if drop_first else vals):
-            out.append(f"CAST({c} = '{v}' AS DOUBLE) AS \"{c}_{v}\"")
+            out.append(f"COALESCE(CAST({c} = '{v}' AS DOUBLE), 0.0) AS \"{c}_{v}\"")
     return out
 
 
@@ -120,12 +120,11 @@ def q_align_features(spark, sf):
 
 
 @register("align_target", with_contacts(
-    f"SELECT f.{', f.'.join(KEY)}, f.duration, f.pdays, t.y FROM contacts f "
-    f"JOIN contacts t ON " + " AND ".join(f"f.{k} = t.{k}" for k in KEY)))
+    f"SELECT {KEYS}, duration, pdays, y FROM contacts"))
 def q_align_target(spark, sf):
-    feats = contacts(spark, sf, ["duration", "pdays"])
-    target = contacts(spark, sf, ["y"])
-    return feats.join(target, KEY).select(*KEY, "duration", "pdays", "y")
+    """Features and target come out of one projection: the key is not unique,
+    so a join on it would multiply rows."""
+    return contacts(spark, sf, ["duration", "pdays", "y"]).select(*KEY, "duration", "pdays", "y")
 
 
 # ---- sorts / top-k / set ops ------------------------------------------------------
@@ -309,9 +308,9 @@ def q_grid_range(spark, sf):
 # ---- feature preparation ------------------------------------------------------------
 
 @register("impute_median", "WITH " + LABELLED_SQL + " SELECT doc_id, "
-          "COALESCE(quality, CAST(median(quality) OVER () AS INTEGER)) AS quality, "
-          "COALESCE(toxic, CAST(median(toxic) OVER () AS INTEGER)) AS toxic, "
-          "COALESCE(n_chars, CAST(median(n_chars) OVER () AS BIGINT)) AS n_chars FROM docs")
+          "COALESCE(CAST(quality AS DOUBLE), median(quality) OVER ()) AS quality, "
+          "COALESCE(CAST(toxic AS DOUBLE), median(toxic) OVER ()) AS toxic, "
+          "COALESCE(CAST(n_chars AS DOUBLE), median(n_chars) OVER ()) AS n_chars FROM docs")
 def q_impute_median(spark, sf):
     d = labelled_documents(spark, sf).select("doc_id", "quality", "toxic", "n_chars")
     med = features.fit_medians(d, ["quality", "toxic", "n_chars"])

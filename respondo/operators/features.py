@@ -27,10 +27,12 @@ def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def impute(df: DataFrame, values: dict[str, object]) -> DataFrame:
-    """Fill NULLs of each column with its fitted value."""
-    return df.select(*[
-        F.coalesce(F.col(c), F.lit(values[c]).cast(df.schema[c].dataType)).alias(c)
-        if c in values and values[c] is not None else F.col(c) for c in df.columns])
+    """Fill NULLs of each column with its fitted value. A column filled with
+    a number becomes DOUBLE: a median may lie between two integers."""
+    def filled(c):
+        kind = "double" if isinstance(values[c], float) else df.schema[c].dataType
+        return F.coalesce(F.col(c).cast(kind), F.lit(values[c]).cast(kind)).alias(c)
+    return df.select(*[filled(c) if values.get(c) is not None else F.col(c) for c in df.columns])
 
 
 def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
@@ -70,13 +72,13 @@ def fit_categories(df: DataFrame, columns: list[str],
 def one_hot(vocab: dict[str, list[str]], drop_first: bool = True,
             sep: str = "_") -> list[Column]:
     """``{col}_{value}`` indicator columns; with ``drop_first`` the first
-    (smallest) category is the all-zero baseline. Unseen values encode as
-    all zeros."""
+    (smallest) category is the all-zero baseline. Unseen values and NULLs
+    encode as all zeros."""
     out = []
     for c, values in vocab.items():
         for v in (values[1:] if drop_first else values):
-            out.append((F.col(c).cast("string") == F.lit(v)).cast("double")
-                       .alias(f"{c}{sep}{v}"))
+            hit = (F.col(c).cast("string") == F.lit(v)).cast("double")
+            out.append(F.coalesce(hit, F.lit(0.0)).alias(f"{c}{sep}{v}"))
     return out
 
 
@@ -164,8 +166,11 @@ def class_weights(df: DataFrame, target: str = "y") -> DataFrame:
                          F.try_divide(neg.cast("double"), pos).alias("scale_pos_weight"))
 
 
-def weight_column(df: DataFrame, target: str = "y", out: str = "w") -> DataFrame:
-    """Per-row 'balanced' weight (for ``weightCol``), via the tiny
-    per-class weight table joined by broadcast."""
-    cw = class_weights(df, target).select(target, F.col("balanced_weight").alias(out))
-    return df.join(F.broadcast(cw), target)
+def weight_column(df: DataFrame, target: str = "y", out: str = "w",
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """Per-row 'balanced' weight (for ``weightCol``), fitted on ``fit_on``
+    (the training rows), via the tiny per-class weight table joined by
+    broadcast. A class without training rows has weight 1."""
+    cw = class_weights(df if fit_on is None else fit_on, target).select(
+        target, F.col("balanced_weight").alias(out))
+    return df.join(F.broadcast(cw), target, "left").withColumn(out, F.coalesce(out, F.lit(1.0)))

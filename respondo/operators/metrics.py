@@ -13,7 +13,8 @@ from respondo.operators.prefix import running_sums
 def confusion(df: DataFrame, label: str = "y", pred: str = "pred",
               by: list[str] | None = None) -> DataFrame:
     """TP/FP/TN/FN (per ``by`` group) with four conditional counts in one
-    aggregation."""
+    aggregation. Rows without a label or a prediction are in none of them;
+    threshold counts leave rows without a score out in the same way."""
     y, p = F.col(label) == 1, F.col(pred) == 1
     aggs = [F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
             F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn")]

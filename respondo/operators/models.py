@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respondo.operators import features, metrics, splits
+from respondo.session import staged
 
 LABEL, FEATURES, WEIGHT = "label", "features", "w"
 
@@ -38,12 +39,16 @@ class Prepared:
 def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
             categorical: list[str], k_best: int | None = 10, test_pct: int = 30,
             folds: int = 5) -> Prepared:
-    """Split, encode, scale, select and assemble; every fit on train only."""
-    base = splits.train_test_split(df, key, test_pct)
-    base = splits.fold_ids(base, key, folds).withColumn(LABEL, F.col(target).cast("double"))
-    # several fits read the same input: keep it (recomputable from lineage
-    # if an executor is lost) instead of re-running the joins each time
-    base = base.persist()
+    """Split and deal folds by class, impute, encode, scale, select, weight
+    and assemble; every fit (medians, modes, vocabulary, scaling, selection,
+    class weights) on the training rows only. The input and the result are
+    written as stage tables, which the fits and the models read."""
+    base = splits.stratified_split(df, key, target, test_pct / 100)
+    base = splits.stratified_folds(base, key, target, folds)
+    base = staged(base.withColumn(LABEL, F.col(target).cast("double")), "model-input")
+    train = base.where(F.col("split") == "train")
+    base = features.impute(base, {**features.fit_medians(train, numeric),
+                                  **features.fit_modes(train, categorical)})
     train = base.where(F.col("split") == "train")
     vocab = features.fit_categories(train, categorical)
     enc = base.select(*key, LABEL, "split", "fold", *numeric, *features.one_hot(vocab))
@@ -57,8 +62,10 @@ def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
         chosen = {r["feature"] for r in
                   features.select_k_best(scores, k_best).where("selected").collect()}
         names = [n for n in names if n in chosen]
-    weighted = features.weight_column(scaled, LABEL, WEIGHT)
-    frame = VectorAssembler(inputCols=names, outputCol=FEATURES).transform(weighted)
+    weighted = features.weight_column(scaled, LABEL, WEIGHT,
+                                      scaled.where(F.col("split") == "train"))
+    frame = staged(VectorAssembler(inputCols=names, outputCol=FEATURES).transform(weighted),
+                   "model-frame")
     n_train = frame.where(F.col("split") == "train").count()
     return Prepared(frame, names, n_train)
 
@@ -78,9 +85,11 @@ def tree(max_depth: int = 3, min_leaf: int = 1) -> DecisionTreeClassifier:
 
 
 def forest(num_trees: int = 50, max_depth: int = 10, balanced: bool = True) -> RandomForestClassifier:
+    if max_depth > 30:
+        raise ValueError("Spark trees have at most 30 levels")
     # a larger node budget per pass trains more tree nodes per data scan
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), seed=42, maxMemoryInMB=1024)
+                                maxDepth=max_depth, seed=42, maxMemoryInMB=1024)
     return rf.setWeightCol(WEIGHT) if balanced else rf
 
 
@@ -214,6 +223,43 @@ def cv_scores(estimator, train: DataFrame, folds: int = 5) -> list[float]:
 
 # ---- calibration, voting, stacking -------------------------------------------------
 
+def named_outputs(estimator, name: str):
+    """A copy that writes its own columns (``v_`` prediction, ``r_`` margins,
+    ``q_`` probabilities), so that models score one frame one after another
+    without joins."""
+    est = estimator.copy().setPredictionCol(f"v_{name}").setRawPredictionCol(f"r_{name}")
+    return est.setProbabilityCol(f"q_{name}") if est.hasParam("probabilityCol") else est
+
+
+def with_scores(fitted: dict, frame: DataFrame) -> DataFrame:
+    """``frame`` with the positive score ``p_`` and prediction ``v_`` of
+    every model; a margin becomes a probability by the logistic function."""
+    for name, model in fitted.items():
+        frame = model.transform(frame)
+        p = (vector_to_array(f"q_{name}")[1] if f"q_{name}" in frame.columns
+             else 1 / (1 + F.exp(-vector_to_array(f"r_{name}")[1])))
+        frame = frame.withColumn(f"p_{name}", p).drop(f"r_{name}", f"q_{name}")
+    return frame
+
+
+def fit_all(estimators: dict, train: DataFrame, parallelism: int = 4) -> dict:
+    """Fit independent models, submitted together."""
+    names = list(estimators)
+    return dict(zip(names, parallel_map(
+        lambda n: named_outputs(estimators[n], n).fit(train), names, parallelism)))
+
+
+def out_of_fold_scores(estimators: dict, train: DataFrame, folds: int = 5) -> DataFrame:
+    """``train`` with every model's out-of-fold score: inside a fold all
+    models score one frame in turn, then the folds are united. No join."""
+    parts = [with_scores(fit_all(estimators, train.where(F.col("fold") != k)),
+                         train.where(F.col("fold") == k)) for k in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def out_of_fold(estimator, train: DataFrame, key: list[str], folds: int = 5,
                 name: str = "score") -> DataFrame:
     """Out-of-fold positive scores ``(key, name)``: each fold scored by a

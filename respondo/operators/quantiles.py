@@ -40,12 +40,14 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                       by: list[str] | None = None, accuracy: int = 10_000,
                       max_band: int = 100_000, max_rounds: int = 6) -> DataFrame:
     """``(by..., feature, p_idx, value)``: the exact percentile of each
-    column (per group) for each probability in ``probs``."""
+    column (per group) for each probability in ``probs``; NULL and NaN are
+    left out."""
     by = list(by or [])
     spark = df.sparkSession
     cols = list(columns)
     # read by every pass below; released before returning
-    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist()
+    data = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                             for c in cols]).persist()
     by_fields = list(data.select(*by).schema.fields) if by else []
     margin = 2.0 / accuracy
     clamp = lambda v: min(1.0, max(0.0, v))

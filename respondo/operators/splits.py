@@ -17,9 +17,10 @@ SPREAD = (2654435761, 4294967296)  # Knuth multiplicative hash to 32 bits
 
 
 def key_hash_sql(key: list[str]) -> str:
-    """32-bit hash of up to four non-negative integer key columns, as SQL
-    text valid in Spark SQL and DuckDB."""
-    terms = " + ".join(f"(CAST({k} AS BIGINT) % {P}) * {m}" for k, m in zip(key, MIX))
+    """Hash of up to four integer key columns (one of ``P`` values, spread
+    over 32 bits), as SQL text valid in Spark SQL and DuckDB. Remainders of
+    negative keys are made positive."""
+    terms = " + ".join(f"((CAST({k} AS BIGINT) % {P} + {P}) % {P}) * {m}" for k, m in zip(key, MIX))
     return f"((({terms}) % {P}) * {SPREAD[0]} % {SPREAD[1]})"
 
 
@@ -85,3 +86,21 @@ def fold_ids(df: DataFrame, key: list[str], folds: int = 5, out: str = "fold") -
     """Fold number 0..folds-1 from the key hash (for ``CrossValidator``'s
     ``foldCol``)."""
     return df.withColumn(out, (key_hash(key) % folds).cast("int"))
+
+
+def stratified_folds(df: DataFrame, key: list[str], target: str = "y", folds: int = 5,
+                     out: str = "fold") -> DataFrame:
+    """Fold number 0..folds-1, dealt in turn to the rows of each class in the
+    order of the key hash. The dealing runs inside hash ranges, each starting
+    where the one before it ended, so that no class meets in one task and the
+    folds of a class differ by at most one row."""
+    base = df.withColumn("_h", key_hash(key)).withColumn("_b", F.shiftright(F.col("_h"), 20))
+    counts = base.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(target).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(target).alias("_t"), F.col("_b").alias("_sb"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(target, "_b").orderBy("_h", *key)) - 1
+    ranked = base.withColumn("_r", place)
+    return (ranked.join(starts, ranked[target].eqNullSafe(starts["_t"]) & (F.col("_b") == F.col("_sb")))
+            .withColumn(out, ((F.col("_start") + F.col("_r")) % folds).cast("int"))
+            .select(*df.columns, out))

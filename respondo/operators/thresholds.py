@@ -34,7 +34,7 @@ def threshold_counts(df: DataFrame, thresholds: list[float], score: str = "score
     ts = sorted(thresholds)
     s = F.col(score)
     k = sum((F.when(s >= dbl(t), 1).otherwise(0) for t in ts), F.lit(0))
-    binned = df.select(*by, k.alias("k"), (F.col(label) == 1).alias("pos"))
+    binned = df.where(s.isNotNull() & F.col(label).isNotNull()).select(*by, k.alias("k"), (F.col(label) == 1).alias("pos"))
     counts = binned.groupBy(*by, "k").agg(F.count_if("pos").alias("p"),
                                           F.count_if(~F.col("pos")).alias("n"))
     aggs = [F.sum("p").alias("P"), F.sum("n").alias("N")]

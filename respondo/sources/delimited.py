@@ -44,7 +44,8 @@ def clean_name(name: str) -> str:
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Header + rows as strings; separator sniffed from the header when not
     given (the reference's tab -> ';' fallback chain, decided from one line
-    instead of re-reading the whole file per attempt)."""
+    instead of re-reading the whole file per attempt). A row with more or
+    fewer fields than the header is an error, never cut."""
     header = first_line(spark, path)
     if header is None:
         return spark.createDataFrame([], StructType([]))
@@ -55,7 +56,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     else:
         names = [clean_name(h) for h in header.split(sep)]
     schema = StructType([StructField(n, StringType(), True) for n in names])
-    return spark.read.csv(path, sep=sep, header=True, schema=schema, mode="PERMISSIVE",
+    return spark.read.csv(path, sep=sep, header=True, schema=schema, mode="FAILFAST",
                           enforceSchema=True)
 
 
@@ -77,7 +78,9 @@ def split_single_column(df: DataFrame, column: str | None = None,
     if sep is None:
         raise ValueError("could not determine the delimiter of the single column")
     names = [clean_name(h) for h in line.split(sep)]
-    parts = F.split(F.col(column), re.escape(sep), -1)
+    split = F.split(F.col(column), re.escape(sep), -1)
+    parts = F.when(F.size(split) == len(names), split).otherwise(F.raise_error(
+        F.concat(F.lit(f"expected {len(names)} fields: "), F.col(column))))
     body = df.where(F.col(column) != F.lit(line))
     return body.select(*[parts.getItem(i).alias(n) for i, n in enumerate(names)])
 

@@ -26,7 +26,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _LOADED[key]
 
 
-_FITS: dict[tuple, bool] = {}
+_FITS: list[tuple[str, int, DataFrame, bool]] = []
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -36,10 +36,13 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     check costs O(max_rows) even when the input turns out to be huge. The
     answer is remembered per session and plan (inputs are immutable).
     """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _FITS:
-        _FITS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _FITS[key]
+    app = df.sparkSession.sparkContext.applicationId
+    for known, rows, plan, answer in _FITS:
+        if known == app and rows == max_rows and df.sameSemantics(plan):
+            return answer
+    answer = df.limit(max_rows + 1).count() <= max_rows
+    _FITS.append((app, max_rows, df, answer))
+    return answer
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
