@@ -280,6 +280,7 @@ def q_pca_95(spark, sf):
     d = len(prep.feature_names)
     model = PCA(k=d, inputCol=models.FEATURES, outputCol="pcs").fit(train)
     ratios = model.explainedVariance.toArray().tolist()
+    loadings = model.pc.toArray().T.tolist()  # a row per component: features x features numbers
     cum, k = 0.0, d
     for i, r in enumerate(ratios):
         cum += r
@@ -290,9 +291,10 @@ def q_pca_95(spark, sf):
     cum = 0.0
     for i, r in enumerate(ratios[:k]):
         cum += r
-        rows.append((i + 1, float(r), float(cum)))
+        rows.append((i + 1, float(r), float(cum),
+                     dict(zip(prep.feature_names, map(float, loadings[i])))))
     return spark.createDataFrame(rows, "component int, explained_variance_ratio double, "
-                                       "cumulative double")
+                                       "cumulative double, loadings map<string,double>")
 
 
 @register("smote")

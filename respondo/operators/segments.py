@@ -98,12 +98,15 @@ def group_mode(df: DataFrame, by: str, value: str) -> DataFrame:
                        F.negative(F.col("m.nc")).alias("mode_count"))
 
 
-def crosstab_normalized(df: DataFrame, column: str, target: str = "y",
+def crosstab_normalized(df: DataFrame, columns: list[str], target: str = "y",
                         classes: tuple = (0, 1)) -> DataFrame:
-    """Row-normalised category x target table (share of each class)."""
+    """Row-normalised category x target table (share of each class) of every
+    column, in one grouped count."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in classes:
         aggs.append(F.count_if(F.col(target) == c).alias(f"n_{c}"))
-    t = df.groupBy(F.col(column).alias("value")).agg(*aggs)
-    return t.select("value", "rows", *[
+    long = df.select(target, *[F.col(c).cast("string").alias(c) for c in columns]) \
+        .unpivot([target], columns, "feature", "value")
+    t = long.groupBy("feature", "value").agg(*aggs)
+    return t.select("feature", "value", "rows", *[
         F.round(F.col(f"n_{c}") / F.col("rows"), 9).alias(f"share_{c}") for c in classes])
