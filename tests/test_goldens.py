@@ -12,6 +12,15 @@ from respondo.functions.scalar import coerce_numeric
 from respondo.operators import features, metrics, prefix, rules, segments, splits, thresholds
 
 
+def knn_pairs_brute(rows: list[tuple[int, list[float]]], k: int) -> dict[int, list[int]]:
+    """kNN on a small list: id -> k nearest ids."""
+    out = {}
+    for i, xi in rows:
+        ds = sorted((math.dist(xi, xj), j) for j, xj in rows if j != i)
+        out[i] = [j for _, j in ds[:k]]
+    return out
+
+
 def conf_frame(spark, tp, fp, tn, fn):
     return spark.createDataFrame([(tp, fp, tn, fn)], "tp long, fp long, tn long, fn long")
 
@@ -189,7 +198,7 @@ def test_one_hot_drop_first_and_unseen(spark):
 
 
 def test_exact_knn_matches_brute_force(spark):
-    from respondo.operators.resample import exact_knn, knn_pairs_brute
+    from respondo.operators.resample import exact_knn
     from respondo.session import cut_lineage
     rnd = random.Random(11)
     pts = [(i, [rnd.random() for _ in range(3)]) for i in range(300)]
@@ -249,3 +258,11 @@ def test_threshold_counts_match_brute_force_with_ties_on_grid(spark):
         tn = sum(1 for s, y in rows if s < t and y == 0)
         fn = sum(1 for s, y in rows if s < t and y == 1)
         assert got[i] == (tp, fp, tn, fn)
+
+
+def test_smote_of_a_lone_minority_row(spark):
+    from respondo.operators.resample import smote
+    df = spark.createDataFrame([(0, 1.0, 2.0, 1)] + [(i, float(i), 0.0, 0) for i in range(1, 11)],
+                               "k long, a double, b double, label int")
+    out = smote(df, ["k"], ["a", "b"], "label").where("label = 1").collect()
+    assert len(out) == 10 and {(r["a"], r["b"]) for r in out} == {(1.0, 2.0)}
