@@ -42,9 +42,10 @@ def in_blocks(members: DataFrame, payload: list[str],
                     yield from kernel(pair.field("rows")[0].values, pair.field("rows")[1].values)
 
     alone = blocks.select("rows").mapInArrow(inside, schema)
-    # block k meets every other block of its group once
-    meets = (blocks.where("n_blocks > 1")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
+    # block k meets every other block of its group once (the outer explode
+    # keeps both branches on one shuffle: no filter moves below it)
+    meets = (blocks
+             .withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
              .where("other <> blk")
              .select("grp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                      "blk", "rows")

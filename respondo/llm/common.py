@@ -68,6 +68,53 @@ def numbered(df: DataFrame, name: str = "row_number") -> tuple[DataFrame, int]:
             .drop("__file", "__place", "__first", "__path", "__n")), total
 
 
+def broadcast_rows(rows: DataFrame, col: str, total: int, max_bits: int = 1 << 28) -> Broadcast:
+    """Broadcast which row numbers below ``total`` are in ``rows``: one bit
+    each, and at most ``max_bits`` (32 MB). Beyond that, rows share bits: a
+    test may then say yes for a row that is not there, never no for one that
+    is. Tasks set the bits; one row per 64 of them reaches the driver."""
+    bits = max(64, min(max_bits, total))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy() % bits)
+            word, start = np.unique(at >> 6, return_index=True)
+            bit = np.uint64(1) << (at & 63).astype(np.uint64)
+            value = np.bitwise_or.reduceat(bit, start) if len(at) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))],
+                                             ["word", "value"])
+
+    table = (rows.select(F.col(col).cast("long")).mapInArrow(kernel, "word long, value long")
+             .groupBy("word").agg(F.bit_or("value").alias("value"))).toArrow()
+    words = np.zeros(-(-bits // 64), np.uint64)
+    words[table["word"].to_numpy()] = table["value"].to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast({"words": words, "bits": bits})
+
+
+def in_rows(numbers: np.ndarray, chosen: dict) -> np.ndarray:
+    """Whether each row number may be in what ``broadcast_rows`` was given."""
+    at = numbers % chosen["bits"]
+    return (chosen["words"][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def without_rows(df: DataFrame, gone: DataFrame, col: str = "row") -> DataFrame:
+    """``df`` without the rows whose numbers (see ``numbered``) ``gone`` lists.
+    Rows that a bitmap rules out stay where they are; only the others are
+    joined, so the table is not shuffled for a few rows."""
+    rows, total = numbered(df, "__number")
+    chosen = broadcast_rows(gone, col, total)
+
+    @F.arrow_udf("boolean")
+    def maybe(number: pa.Array) -> pa.Array:
+        return pa.array(in_rows(number.to_numpy(), chosen.value))
+
+    flagged = rows.withColumn("__maybe", maybe("__number"))
+    listed = gone.select(F.col(col).alias("__gone"))
+    left = flagged.where("__maybe").join(listed, F.col("__number") == F.col("__gone"), "left_anti")
+    return (flagged.where("not __maybe").unionByName(left)
+            .select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> Broadcast:
     """Broadcast a vocabulary file. Its size does not depend on the data and
     is checked against ``max_bytes``. The value is a dict; a worker keeps
@@ -100,6 +147,7 @@ def slices(batch: pa.RecordBatch, column: str,
         stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # give back what the slices took
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

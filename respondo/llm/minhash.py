@@ -38,11 +38,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respondo.llm.blocks import in_blocks
-from respondo.llm.common import gather, numbered, slices, stage, sums, text_array, word_codes
+from respondo.llm.common import (broadcast_rows, gather, in_rows, numbered, slices, stage, sums,
+                                 text_array, word_codes)
 from respondo.llm.components import components, named
 
 SLACK = 6.0                    # standard deviations below the threshold that a sketch may fall
@@ -229,17 +231,19 @@ def exact_links(percent: int):
     return kernel
 
 
-def set_kernel(words: int):
+def chosen_sets(rows: DataFrame, chosen: Broadcast, words: int) -> DataFrame:
+    """(member, shingles) of the rows in ``chosen``; other texts stay where
+    they are."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
-                value, at = shingles(text_array(rows.column("text")), words)
+            wanted = in_rows(batch.column("row").to_numpy(), chosen.value)
+            for some in slices(batch.filter(pa.array(wanted)), "text"):
+                value, at = shingles(text_array(some.column("text")), words)
                 raw, ends = value.tobytes(), (at * 8).tolist()
                 sets = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(c) for c in ("grp", "n_blocks", "member")] + [sets],
-                    ["grp", "n_blocks", "member", "shingles"])
-    return kernel
+                yield pa.RecordBatch.from_arrays([some.column("row"), sets], ["member", "shingles"])
+
+    return rows.select("row", "text").mapInArrow(kernel, "member long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id",
@@ -248,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by
     links), ``kept`` (its id is that) and ``first`` (true for exactly one
     row of each component)."""
-    rows, _ = numbered(docs.select(F.col(id_col).cast("long").alias("id"),
+    rows, total = numbered(docs.select(F.col(id_col).cast("long").alias("id"),
                                    F.col(text_col).alias("text")), "row")
     per_band, bands = banding(percent)
     values = per_band * bands
@@ -277,10 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
                  F.ceil(F.count("*") / ROW_BLOCK)).alias("n_blocks")))
     wanted = stage(clusters.join(stage(sizes, "cluster-sizes"), "component").select(
         F.col("node").alias("row"), F.col("component").alias("grp"), "n_blocks"), "clusters")
-    sets = (rows.join(wanted, "row")
-            .select("grp", "n_blocks", F.col("row").alias("member"), "text")
-            .mapInArrow(set_kernel(words),
-                        "grp long, n_blocks long, member long, shingles binary"))
+    sets = (chosen_sets(rows, broadcast_rows(wanted, "row", total), words)
+            .join(wanted.withColumnRenamed("row", "member"), "member"))
     linked = components(in_blocks(sets, ["shingles"], exact_links(percent), LINKS))
 
     # every row's component is named by its class's representative
