@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respondo.llm import minhash, packing, quality, secrets
-from respondo.llm.common import broadcast_file, numbered, stage, table
+from respondo.llm.common import broadcast_file, stage, table, without_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group stays: five-word shingles,
     similarity 0.8 or more."""
     groups = minhash.near_duplicates(docs, percent=80, words=5)
-    gone = groups.where(~F.col("first")).select(F.col("row").alias("__gone"))
-    rows, _ = numbered(docs, "__row")
-    return (rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return without_rows(docs, stage(groups.where(~F.col("first")).select("row"), "gone"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
