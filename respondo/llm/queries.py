@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import (byte_bpe, embedding_dedup, lm_scores, minhash, packing, quality, secrets,
-                          sharding, token_counts, warc)
+from respondo.llm import (byte_bpe, embedding_dedup, lm_scores, minhash, oracles, packing, quality,
+                          secrets, sharding, token_counts, warc)
 from respondo.llm.common import broadcast_file, table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_pruned_flat_graph": oracles.OP2, "op4_min_max_hashing": oracles.OP4,
+                          "op8_rule_ledger": oracles.OP8}
 
 
 def query(fn):
