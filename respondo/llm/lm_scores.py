@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from respondo.llm.common import numbered, slices, stage, sums, text_array, word_codes
 
-WORD_SHARE, PAIR_SHARE = 2e-7, 1e-6
+WORD_SHARE, PAIR_SHARE = 2e-7, 4e-6
 BASE, HASHES, BITS_PER_ENTRY = 1.5, 4, 12
 END, BEGIN = np.int64(1), np.int64(2)  # keys of the ends; words have hashed keys
 PAIR, PAIRS, OCCUR = 0, 1, 2           # what an entry counts
