@@ -39,9 +39,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respondo.llm.common import numbered, slices, stage, sums, text_array, word_codes
+from respondo.llm.common import SLICE_BYTES, numbered, slices, stage, sums, text_array, word_codes
 
-WORD_SHARE, PAIR_SHARE = 2e-7, 4e-6
+WORD_SHARE, PAIR_SHARE = 2e-7, 1e-6
 BASE, HASHES, BITS_PER_ENTRY = 1.5, 4, 12
 END, BEGIN = np.int64(1), np.int64(2)  # keys of the ends; words have hashed keys
 PAIR, PAIRS, OCCUR = 0, 1, 2           # what an entry counts
@@ -139,7 +139,7 @@ def pair_counts(training: DataFrame, head: Broadcast, least: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = head.value["keys"], head.value["counts"]
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE_BYTES // 2):
                 codes, first, keys = tokens(text_array(rows.column("text")))
                 at = found(keys, known)
                 often = np.append((at >= 0) & (count[at] >= least) if len(count) else at >= 0, True)
@@ -148,8 +148,9 @@ def pair_counts(training: DataFrame, head: Broadcast, least: int) -> DataFrame:
                 both = often[before] & often[codes]
                 pair, n = np.unique(before[both] * len(keys) + codes[both], return_counts=True)
                 h, w = keys[pair // len(keys)], keys[pair % len(keys)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(joined(h, w)), pa.array(n.astype(np.int64))], ["h", "pair", "n"])
+                out = [pa.array(h), pa.array(joined(h, w)), pa.array(n.astype(np.int64))]
+                del codes, before, both, pair, w  # not held while Spark takes the rows
+                yield pa.RecordBatch.from_arrays(out, ["h", "pair", "n"])
 
     return (training.select("text").mapInArrow(kernel, "h long, pair long, n long")
             .groupBy("h", "pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
