@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from respondo.llm.common import slices, text_array
+from respondo.llm.common import slices, stage, text_array
 from respondo.llm.word_bpe import token_counts
 
 
@@ -51,7 +51,7 @@ def suffix_sums(hist: DataFrame, block: int = 4096) -> DataFrame:
     L) and ``total_tokens``. Sums run inside blocks of lengths; only one
     row per block meets in one task."""
     tokens = F.col("n_tokens") * F.col("n_docs")
-    h = hist.withColumn("block", F.floor(F.col("n_tokens") / block))
+    h = stage(hist, "lengths").withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"),
                                     F.sum(tokens).alias("block_tokens"))
     later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
