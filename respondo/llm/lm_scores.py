@@ -13,12 +13,15 @@ probability after h is
 where rest(h) is what count(h) leaves beside the stored pairs, and
 p(w) = (count(w) + 1) / (tokens + words + 1).
 
+Every pair of the training texts is kept, however rare. The filter is cut
+into hash ranges, as many as the text bytes ask for, so that a range's part
+has a bounded size. Each slice of texts sends its distinct pairs to their
+ranges; there a part is built, probed, and the steps go back to the slices,
+where they are summed per document. A pair moves once per slice it is in.
+
 What is broadcast has a proven bound at every corpus size: words with at
-least the share ``WORD_SHARE`` of all tokens (at most 1 / WORD_SHARE), and
-pairs with at least the share ``PAIR_SHARE`` (at most 1 / PAIR_SHARE, and
-at most three entries each over the whole filter). Rarer pairs are left to
-the smoothing; rarer words keep their exact counts, which are joined, not
-broadcast: their share of a text's score is a sum that separates.
+least the share ``WORD_SHARE`` of all tokens (at most 1 / WORD_SHARE), with
+what they begin. Rarer words are joined, with their exact counts.
 
 Defined results: a null or empty text is one end; a null id is hashed as an
 empty text; repeated rows are scored (and learnt from) each time; without
@@ -41,7 +44,8 @@ from pyspark.sql import functions as F
 
 from respondo.llm.common import SLICE_BYTES, numbered, slices, stage, sums, text_array, word_codes
 
-WORD_SHARE, PAIR_SHARE = 2e-7, 1e-6
+WORD_SHARE, PAIR_SHARE = 2e-7, 0.0  # every pair is kept
+RANGE_BYTES = 4 << 20  # text bytes whose pairs share one hash range of the filter
 BASE, HASHES, BITS_PER_ENTRY = 1.5, 4, 12
 END, BEGIN = np.int64(1), np.int64(2)  # keys of the ends; words have hashed keys
 PAIR, PAIRS, OCCUR = 0, 1, 2           # what an entry counts
@@ -132,28 +136,110 @@ def neighbours(codes: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     return before
 
 
-def pair_counts(training: DataFrame, head: Broadcast, least: int) -> DataFrame:
-    """(h, pair, n) of the pairs that occur ``least`` times or more. A pair
-    is no more frequent than its words, so only words that frequent are
-    looked at."""
+def coded(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Slices of the batch with their tokens: the slice, where each text
+    begins, the codes, the keys of the codes (BEGIN's comes last) and the
+    codes of the distinct pairs, ``before * len(keys) + code``, with the
+    place of each token's pair. Equal batches give equal slices."""
+    for rows in slices(batch, "text", SLICE_BYTES // 2):
+        codes, first, keys = tokens(text_array(rows.column("text")))
+        keys = np.append(keys, BEGIN)
+        pair, inverse = np.unique(neighbours(codes, first, len(keys) - 1) * len(keys) + codes,
+                                  return_inverse=True)
+        yield rows, first, codes, keys, pair, inverse
+
+
+def dealt(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys, range by range, and where each range begins."""
+    part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(ranges)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
+
+
+ASKED = "range int, kind int, block long, pair binary, h binary, n binary"
+ANSWERED = "kind int, block long, range int, data binary, key long, pairs long, occur long"
+SEEN, BEGUN, RARE = 0, 1, 2  # kinds of rows: a slice's pairs, what a word begins, a slice's rare word
+
+
+def asking_kernel(head: Broadcast, ranges: int):
+    """Each slice's distinct pairs, one row per hash range, with their
+    counts in training texts; and the slice's words beyond the head. A
+    slice is named by its first row."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = head.value["keys"], head.value["counts"]
+        known = head.value["keys"]
         for batch in batches:
-            for rows in slices(batch, "text", SLICE_BYTES // 2):
-                codes, first, keys = tokens(text_array(rows.column("text")))
-                at = found(keys, known)
-                often = np.append((at >= 0) & (count[at] >= least) if len(count) else at >= 0, True)
-                keys = np.append(keys, BEGIN)
-                before = neighbours(codes, first, len(keys) - 1)
-                both = often[before] & often[codes]
-                pair, n = np.unique(before[both] * len(keys) + codes[both], return_counts=True)
-                h, w = keys[pair // len(keys)], keys[pair % len(keys)]
-                out = [pa.array(h), pa.array(joined(h, w)), pa.array(n.astype(np.int64))]
-                del codes, before, both, pair, w  # not held while Spark takes the rows
-                yield pa.RecordBatch.from_arrays(out, ["h", "pair", "n"])
-
-    return (training.select("text").mapInArrow(kernel, "h long, pair long, n long")
-            .groupBy("h", "pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+            for rows, first, codes, keys, pair, inverse in coded(batch):
+                learnt = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+                n = np.bincount(inverse[np.repeat(learnt, np.diff(first))], minlength=len(pair)).astype(np.int32)
+                h = keys[pair // len(keys)]
+                key = joined(h, keys[pair % len(keys)])
+                used = np.unique(np.concatenate([codes, [len(keys) - 1]]))
+                rare = keys[used[:-1]][found(keys[used[:-1]], known) < 0]
+                block = rows.column("row")[0].as_py()
+                del codes, inverse, used
+                out = []
+                for kind, what in ((SEEN, key), (RARE, rare)):
+                    order, start = dealt(what, ranges)
+                    for r in np.flatnonzero(np.diff(start)):
+                        at = order[start[r]:start[r + 1]]
+                        out.append((int(r), kind, block, what[at].tobytes(),
+                                    *((h[at].tobytes(), n[at].tobytes()) if kind == SEEN else (b"", b""))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3))],
+                    ["range", "kind", "block", "pair", "h", "n"])
+    return kernel
+
+
+def answering_kernel(least: int):
+    """One hash range: its part of the filter is built from the pairs that
+    occur ``least`` times or more, and probed for every slice's pairs."""
+    def kernel(part: pa.Table) -> pa.Table:
+        kind = part["kind"].to_numpy()
+        ask, rare = part.filter(pa.array(kind == SEEN)), part.filter(pa.array(kind == RARE))
+        many = lambda t, c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
+        size = pc.binary_length(ask["pair"]).to_numpy().astype(np.int64) // 8
+        key, place, inverse = np.unique(many(ask, "pair", np.int64), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=many(ask, "n", np.int32), minlength=len(key)).astype(np.int64)
+        kept = n >= least
+        h, of = np.unique(many(ask, "h", np.int64)[place][kept], return_inverse=True)
+        bits = filter_size(int(level(n[kept]).sum()))
+        words = np.zeros(bits // 64, np.uint64)
+        bit, value = filter_bits(key[kept], np.full(int(kept.sum()), PAIR), n[kept], bits)
+        words[bit] = value
+        q = probe(words, bits, key, PAIR)[inverse].astype(np.uint8).tobytes()
+        ends = np.cumsum(size)
+        rare_key = many(rare, "pair", np.int64)
+        rare_size = pc.binary_length(rare["pair"]).to_numpy().astype(np.int64) // 8
+        kinds = np.repeat([SEEN, BEGUN, RARE], [len(size), len(h), len(rare_key)]).astype(np.int32)
+        zeros = lambda k: np.zeros(k, np.int64)
+        more = len(h) + len(rare_key)
+        return pa.table({
+            "kind": kinds,
+            "block": np.concatenate([ask["block"].to_numpy(), zeros(len(h)),
+                                     np.repeat(rare["block"].to_numpy(), rare_size)]),
+            "range": np.full(len(kinds), part["range"][0].as_py(), np.int32),
+            "data": pa.array([q[e - k:e] for e, k in zip(ends, size)] + [None] * more, pa.binary()),
+            "key": np.concatenate([zeros(len(size)), h, rare_key]),
+            "pairs": np.concatenate([zeros(len(size)), np.bincount(of, minlength=len(h)), zeros(len(rare_key))]),
+            "occur": np.concatenate([zeros(len(size)), np.bincount(of, weights=n[kept], minlength=len(h))
+                                     .astype(np.int64), zeros(len(rare_key))])})
+    return kernel
+
+
+def filter_size(entries: int) -> int:
+    return max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
+
+
+def filter_bits(key: np.ndarray, kind: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's words that the keys with these counts set, and the bits set in them."""
+    q = level(n)
+    out = [np.zeros(0, np.int64)]
+    for s in range(1, int(q.max(initial=0)) + 1):
+        for k in (PAIR, PAIRS, OCCUR):
+            out += positions(key[(q >= s) & (kind == k)], k, s, bits)
+    place = np.unique(np.concatenate(out))
+    word, start = np.unique(place >> 6, return_index=True)
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    return word, np.bitwise_or.reduceat(bit, start) if len(bit) else bit
 
 
 def bloom_filter(entries: DataFrame) -> tuple[np.ndarray, int]:
@@ -162,20 +248,11 @@ def bloom_filter(entries: DataFrame) -> tuple[np.ndarray, int]:
     most one row per filter word reaches the driver."""
     steps = F.greatest(F.lit(0), F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1)
     total = entries.agg(F.sum(steps)).first()[0] or 0
-    bits = max(64, -(-int(total) * BITS_PER_ENTRY // 64) * 64)
+    bits = filter_size(int(total))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, kind, n = (batch.column(c).to_numpy() for c in ("key", "kind", "n"))
-            q = level(n)
-            out = [np.zeros(0, np.int64)]
-            for s in range(1, int(q.max(initial=0)) + 1):
-                for k in (PAIR, PAIRS, OCCUR):
-                    out += positions(key[(q >= s) & (kind == k)], k, s, bits)
-            place = np.unique(np.concatenate(out))
-            word, start = np.unique(place >> 6, return_index=True)
-            bit = np.uint64(1) << (place & 63).astype(np.uint64)
-            value = np.bitwise_or.reduceat(bit, start) if len(bit) else bit
+            word, value = filter_bits(*(batch.column(c).to_numpy() for c in ("key", "kind", "n")), bits)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))],
                                              ["word", "value"])
 
@@ -186,8 +263,24 @@ def bloom_filter(entries: DataFrame) -> tuple[np.ndarray, int]:
     return words, bits
 
 
-def score_kernel(model: Broadcast):
+def text_kernel():
+    """Each slice as one row: its texts' columns, where they begin, codes and keys."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, first, codes, keys, pair, inverse in coded(batch):
+                one = [0, rows.num_rows]
+                whole = lambda c: pa.ListArray.from_arrays(
+                    pa.array(one, pa.int32()), rows.column(c).take(pa.array(np.arange(rows.num_rows))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rows.column("row")[0].as_py()]), whole("id"), whole("held_out"),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in (first, codes.astype(np.int32), keys)]],
+                    ["block", "id", "held_out", "first", "codes", "keys"])
+    return kernel
+
+
+def score_kernel(model: Broadcast, ranges: int):
+    """One slice with the answers to its pairs and its rare words."""
+    def kernel(slice_: pa.Table, answers: pa.Table) -> pa.Table:
         m = model.value
         known, count, bits, words = m["keys"], m["counts"], m["bits"], m["words"]
         size = m["tokens"] + m["words_known"] + 1
@@ -195,40 +288,42 @@ def score_kernel(model: Broadcast):
             h = np.append(known, BEGIN)
             m["begins"] = count_at(probe(words, bits, h, PAIRS)), count_at(probe(words, bits, h, OCCUR))
             m["total"] = np.append(count, m["texts"]).astype(np.float64)
-        pairs, occur, total = *m["begins"], m["total"]
+        first, codes, keys = (np.frombuffer(slice_[c][0].as_py(), d) for c, d in (
+            ("first", np.int64), ("codes", np.int32), ("keys", np.int64)))
+        codes = codes.astype(np.int64)
+        pair, inverse = np.unique(neighbours(codes, first, len(keys) - 1) * len(keys) + codes,
+                                  return_inverse=True)
+        h, w = pair // len(keys), pair % len(keys)
+        asked = answers.filter(pa.array(answers["kind"].to_numpy() == SEEN))
+        order, start = dealt(joined(keys[h], keys[w]), ranges)
+        seen = np.full(len(pair), -1, np.int64)
+        for r, data in zip(asked["range"].to_pylist(), asked["data"].to_pylist()):
+            seen[order[start[r]:start[r + 1]]] = np.frombuffer(data, np.uint8)
+        if len(seen) and seen.min() < 0:
+            raise RuntimeError("a slice's pairs were not all answered")
+        seen = count_at(seen)
+        # exact counts of the slice's words: of the head, or those that were joined
+        at = np.append(found(keys[:-1], known), len(known))
+        pairs, occur, total = (np.where(at >= 0, x[at], 0.0) for x in (*m["begins"], m["total"]))
+        rare = answers.filter(pa.array(answers["kind"].to_numpy() == RARE)).sort_by("key")
+        place = found(keys, rare["key"].to_numpy())
+        here = (at < 0) & (place >= 0)
+        for into, c in ((total, "n"), (pairs, "pairs"), (occur, "occur")):
+            value = rare[c].to_numpy().astype(np.float64)[place[here]]
+            into[here] = value if c == "n" else count_at(level(value))
         rest = np.maximum(total - occur, 0)
-        for batch in batches:
-            for rows in slices(batch, "text"):
-                codes, first, keys = tokens(text_array(rows.column("text")))
-                at = np.append(found(keys, known), len(known))  # the last code is BEGIN
-                c = np.append(count, 0)[at[:-1]] * (at[:-1] >= 0)
-                keys = np.append(keys, BEGIN)
-                before = neighbours(codes, first, len(keys) - 1)
-                pair, inverse = np.unique(before * len(keys) + codes, return_inverse=True)
-                h, w = at[pair // len(keys)], pair % len(keys)
-                hit = (h >= 0) & (at[w] >= 0)
-                seen = np.zeros(len(pair))
-                seen[hit] = count_at(probe(words, bits, joined(keys[pair[hit] // len(keys)], keys[w[hit]]), PAIR))
-                p = np.append((c + 1) / size, 0)[w]
-                # behind a rare word, or one without pairs, the word alone counts
-                smooth = np.where(h >= 0, (pairs[h] + rest[h]) / np.maximum(total[h] + pairs[h], 1e-9), 1.0)
-                smooth = np.where(smooth > 0, smooth, 1e-9)
-                after = np.where(h >= 0, seen / np.maximum(total[h] + pairs[h], 1e-9), 0.0)
-                rare = at[w] < 0  # p(w) of a rare word is added when its count has been joined
-                part = np.where(rare, np.log10(smooth), np.log10(np.minimum(after + smooth * p, 1.0)))
-                is_rare = at[codes] < 0
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[is_rare]
-                rare_pair, times = np.unique(owner * len(keys) + codes[is_rare], return_counts=True)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rare_pair // len(keys),
-                                                                  minlength=len(first) - 1))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64)))
-                         for x in (keys[rare_pair % len(keys)], times)]
-                base = np.append(np.log10(c + 1.0), 0)[codes]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("row"), rows.column("id"), rows.column("held_out"),
-                     pa.array(np.diff(first)), pa.array(sums((~is_rare).astype(np.int64), first)),
-                     pa.array(sums(base, first)), pa.array(sums(part[inverse], first)), *lists],
-                    ["row", "id", "held_out", "n_tokens", "n_head", "head_log", "part", "rare", "times"])
+        p = (total + 1) / size
+        # behind an unknown word, the word alone counts
+        smooth = np.where(total > 0, (pairs + rest) / np.maximum(total + pairs, 1e-9), 1.0)
+        smooth = np.where(smooth > 0, smooth, 1e-9)
+        after = np.where(total[h] > 0, seen / np.maximum(total + pairs, 1e-9)[h], 0.0)
+        part = np.log10(np.minimum(after + smooth[h] * p[w], 1.0))
+        return pa.table({
+            "doc_id": slice_["id"].combine_chunks().flatten(),
+            "held_out": slice_["held_out"].combine_chunks().flatten(),
+            "n_tokens": np.diff(first), "n_known": sums((total > 0).astype(np.int64)[codes], first),
+            "train_tokens": np.full(len(first) - 1, m["tokens"], np.int64),
+            "base_score": sums(np.log10(p)[codes], first), "score": sums(part[inverse], first)})
     return kernel
 
 
@@ -241,8 +336,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows, _ = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                                    F.coalesce(held_out, F.lit(False)).alias("held_out")), "row")
-    training = rows.where(~F.col("held_out"))
-    words = stage(word_counts(training), "word-counts")
+    rows = rows.select("row", "id", "held_out", "text")  # read twice, in the same batches
+    words = stage(word_counts(rows.where(~F.col("held_out"))), "word-counts")
     n, v, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
                             F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0))).first()
     least_word, least_pair = (max(1, math.ceil(s * n)) for s in (word_share, pair_share))
@@ -250,28 +345,30 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     keys, counts = often["key"].to_numpy(), often["n"].to_numpy()
     order = np.argsort(keys)
     head = {"keys": keys[order], "counts": counts[order]}
-    pairs = stage(pair_counts(training, spark.sparkContext.broadcast(head), least_pair), "pairs")
-    begun = pairs.groupBy("h").agg(F.count("*").alias("pairs"), F.sum("n").alias("occur"))
-    entries = (pairs.select(F.col("pair").alias("key"), F.lit(PAIR).cast("long").alias("kind"), "n")
-               .union(begun.select("h", F.lit(PAIRS).cast("long"), "pairs"))
-               .union(begun.select("h", F.lit(OCCUR).cast("long"), "occur")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(size / RANGE_BYTES))
+    answered = stage(rows.mapInArrow(asking_kernel(spark.sparkContext.broadcast(head), ranges), ASKED)
+                     .groupBy("range").applyInArrow(answering_kernel(least_pair), ANSWERED), "pairs")
+    begun = stage(answered.where(F.col("kind") == BEGUN).groupBy("key").agg(
+        F.sum("pairs").alias("pairs"), F.sum("occur").alias("occur")), "begun")
+    of_head = begun.join(words.where(F.col("n") >= least_word).select("key"), "key", "left_semi").union(
+        begun.where(F.col("key") == int(BEGIN)))
+    entries = (of_head.select("key", F.lit(PAIRS).cast("long").alias("kind"), F.col("pairs").alias("n"))
+               .union(of_head.select("key", F.lit(OCCUR).cast("long"), "occur")))
     bitmap, bits = bloom_filter(stage(entries, "filter-entries"))
     model = spark.sparkContext.broadcast(
         {**head, "words": bitmap, "bits": bits, "tokens": n, "words_known": v, "texts": texts})
-    scored = stage(rows.select("row", "id", "held_out", "text").mapInArrow(
-        score_kernel(model), f"row long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, "
-                             "n_tokens long, n_head long, head_log double, part double, "
-                             "rare array<long>, times array<long>"), "scores")
-    tail = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-            .select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("t"))
-            .join(words.where(F.col("n") < least_word), "key")
-            .groupBy("row").agg(F.sum("t").alias("n_tail"),
-                                F.sum(F.col("t") * F.log10(F.col("n") + 1)).alias("tail_log")))
-    of_size = math.log10(n + v + 1)
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return scored.join(tail, "row", "left").select(
-        F.col("id").alias("doc_id"), "held_out", "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_log") + tail_log - F.col("n_tokens") * of_size).alias("base_score"),
-        (F.col("part") + tail_log - (F.col("n_tokens") - F.col("n_head")) * of_size).alias("score"))
+    rare_words = words.where(F.col("n") < least_word).join(begun, "key", "left")
+    rare = (answered.where(F.col("kind") == RARE).select("kind", "block", "range", "data", "key")
+            .join(rare_words, "key")
+            .select("kind", "block", "range", "data", "key", "n", F.coalesce("pairs", F.lit(0)).alias("pairs"),
+                    F.coalesce("occur", F.lit(0)).alias("occur")))
+    none = F.lit(0).cast("long")
+    answers = answered.where(F.col("kind") == SEEN).select(
+        "kind", "block", "range", "data", "key", none.alias("n"), "pairs", "occur").union(rare)
+    id_type = rows.schema["id"].dataType.simpleString()
+    texts_of = rows.mapInArrow(text_kernel(), f"block long, id array<{id_type}>, held_out array<boolean>, "
+                                              "first binary, codes binary, keys binary")
+    return texts_of.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        score_kernel(model, ranges), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, "
+                                     "train_tokens long, base_score double, score double")

@@ -229,3 +229,19 @@ def test_filter_gives_counts_back(spark):
     assert (got >= lm_scores.level(counts)).all() and (got == lm_scores.level(counts)).mean() > 0.97
     absent = lm_scores.probe(words, bits, keys + 1, 0)
     assert (absent > 0).mean() < 0.03
+
+
+def test_lm_keeps_rare_pairs_at_every_size(spark, monkeypatch):
+    passage = " ".join(f"only{i} once{i}" for i in range(200))
+    rows = [(1, "x " * 2_200_000), (2, passage), (3, passage), (4, " ".join(reversed(passage.split())))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    scores = []
+    for size in (4 << 20, 50_000):  # one or two hash ranges, and many
+        monkeypatch.setattr(lm_scores, "RANGE_BYTES", size)
+        out = {r.doc_id: r for r in lm_scores.score(docs, F.col("doc_id") > 2).collect()}
+        # a pair learnt once: (1 + p(w)) / 2 after a word seen once, so about 0.3 a token
+        assert out[3].score > -0.35 * 401 and out[4].score < -4 * 401
+        scores.append([out[i].score for i in (1, 2, 3)])
+    assert np.allclose(*scores, rtol=0.02)
+    out = {r.doc_id: r for r in lm_scores.score(docs, F.col("doc_id") > 2, word_share=1e-3).collect()}
+    assert out[3].score > -0.35 * 401  # pairs of joined words too
