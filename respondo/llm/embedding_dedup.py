@@ -14,11 +14,16 @@
    precision, and counted in the unit where it is at home, so that no pair
    is counted twice or written. A hit that is at home elsewhere, and the
    hit's own way back, become new visits; rounds go on until there are none.
-5. Audit: for a bounded sample of vectors, links are counted by brute force
-   over all vectors; below ``least_recall``, every vector visits twice as
-   many shards and the search is done again.
+5. Audit: for a sample of vectors, linked vectors are counted by brute force
+   over all vectors; the sample grows until ``ENOUGH`` vectors with at most
+   ``FEW`` links and as many with more are in it, or to ``AUDIT[-1]``. Each of
+   the two classes must reach ``least_recall`` as the mean over its vectors,
+   copies counted once; else every vector visits twice as many shards and
+   the search is done again. For a class too rare to be audited, the visits
+   must let that share of planted pairs at the range's edge meet in a shard.
 
-What is broadcast: at most ``MAX_CENTRES`` centres and ``AUDIT`` vectors.
+What is broadcast: at most ``MAX_CENTRES`` centres and ``AUDIT[-1]`` vectors
+(not those that the centres were fitted on, where there are enough others).
 
 Defined results: vectors that are null, of zero length, of another dimension
 than the most common one, or with null or non-finite components link with
@@ -41,7 +46,8 @@ from respondo.llm.common import numbered, stage
 from respondo.llm.components import components, named
 from respondo.llm.minhash import Union
 
-SAMPLE, MAX_CENTRES, AUDIT = 20_000, 4096, 200
+SAMPLE, MAX_CENTRES = 20_000, 4096
+AUDIT, ENOUGH, FEW = (400, 1600, 6400), 100, 10
 UNIT, VISITORS = 1500, 6000       # vectors in a unit, searches in one task
 DEGREE, BACK, FAN, CANDIDATES, ALPHA = 16, 16, 8, 64, 1.2
 BEAM, BEYOND = 12, 0.08           # width of the walk; how far below the range it expands
@@ -205,12 +211,13 @@ def walk(q: np.ndarray, x: np.ndarray, links: np.ndarray, least: float) -> tuple
 
 
 FOUND = "kind int, a long, b long"
-COUNT, LINK, VISIT = 0, 1, 2
+COUNT, LINK, VISIT, AUDITED = 0, 1, 2, 3
 
 
-def search_kernel(dimension: int, least: float):
+def search_kernel(dimension: int, least: float, audit: Broadcast):
     """One unit and some of its visitors: (COUNT, visitor, linked vectors at
-    home here), (LINK, a, b) as a spanning forest, (VISIT, vector, unit)."""
+    home here), (LINK, a, b) as a spanning forest, (VISIT, vector, unit), and
+    (AUDITED, visitor, linked vectors at home here, copies counted once)."""
     def kernel(unit: pa.Table, visitors: pa.Table) -> pa.Table:
         if not len(unit) or not len(visitors):
             return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()),
@@ -248,6 +255,8 @@ def search_kernel(dimension: int, least: float):
             n = np.bincount(who[mine], weights=copies[what[mine]], minlength=len(q)).astype(np.int64)
             got = np.flatnonzero(n)
             put(COUNT, q_node[got], n[got])
+            got = got[np.isin(q_node[got], audit.value)]
+            put(AUDITED, q_node[got], np.bincount(who[mine], minlength=len(q))[got])
             united.unite(np.searchsorted(ids, q_node[who]), np.searchsorted(ids, node[what]))
             away = q_home[who] != home[what]
             put(VISIT, node[what[away]], q_home[who[away]])
@@ -261,10 +270,10 @@ def search_kernel(dimension: int, least: float):
     return kernel
 
 
-def searched(vectors: DataFrame, members: DataFrame, visits: DataFrame, dimension: int,
-             least: float) -> DataFrame:
+def searched(members: DataFrame, visits: DataFrame, dimension: int, least: float,
+             audit: Broadcast) -> DataFrame:
     """Search rounds until no visit is new; all ``FOUND`` rows."""
-    schema_kernel = search_kernel(dimension, least)
+    schema_kernel = search_kernel(dimension, least, audit)
     # new names for the same columns: visitors meet these members again below
     homes = members.where("unit = home").select(*[F.col(c).alias(c) for c in ("node", "home", "vec")])
     all_found, done = None, None
@@ -289,23 +298,69 @@ def searched(vectors: DataFrame, members: DataFrame, visits: DataFrame, dimensio
 
 
 def exact_counts(vectors: DataFrame, sample: Broadcast, dimension: int, least: float) -> dict[int, int]:
-    """Links of the sampled vectors by brute force over all vectors."""
+    """Linked vectors of the sampled ones by brute force over all vectors,
+    copies counted once."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sample.value
+        q32 = q.astype(np.float32)
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                x = unit_vectors(batch.column("vec"), dimension)
-                node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-                hit = (q @ x.T >= least) & (ids[:, None] != node[None, :])
-                total += hit @ copies
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                x = unit_vectors(part.column("vec"), dimension)
+                sim = q32 @ x.astype(np.float32).T
+                hit = sim >= least
+                a, b = np.nonzero(np.abs(sim - least) < 1e-5)  # too close for single precision
+                hit[a, b] = np.einsum("ij,ij->i", q[a], x[b]) >= least
+                total += hit.sum(axis=1)
+                place = found_at(part.column("node").to_numpy(), ids)
+                own = np.flatnonzero(place >= 0)
+                total[place[own]] -= hit[place[own], own]
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "n"])
 
-    rows = (vectors.select("node", "copies", "vec").mapInArrow(kernel, "node long, n long")
+    rows = (vectors.select("node", "vec").mapInArrow(kernel, "node long, n long")
             .groupBy("node").agg(F.sum("n").alias("n")).collect())
     return {r[0]: r[1] for r in rows}
 
 
+def found_at(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place of each key in ``ids``, or -1."""
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids[order], keys), len(ids) - 1)]
+    return np.where(ids[at] == keys, at, -1)
+
+
+def by_links(exact: dict[int, int]) -> list[list[int]]:
+    """The audited vectors with few links, and those with many."""
+    return [[v for v, n in exact.items() if 1 <= n <= FEW], [v for v, n in exact.items() if n > FEW]]
+
+
+def audited(classes: DataFrame, nodes: np.ndarray, x: np.ndarray, dimension: int,
+            least: float) -> dict[int, int]:
+    """Exact counts of enough sampled vectors of each class."""
+    exact: dict[int, int] = {}
+    for size in AUDIT:
+        more = slice(len(exact), min(size, len(nodes)))
+        if more.start < more.stop:
+            part = classes.sparkSession.sparkContext.broadcast((nodes[more], x[more]))
+            exact |= exact_counts(classes, part, dimension, least)
+        if min(map(len, by_links(exact))) >= ENOUGH:
+            break
+    return exact
+
+
+def planted(x: np.ndarray, c: np.ndarray, visits: int, least: float) -> float:
+    """Share of planted pairs, as far apart as a link allows, of which one
+    vector visits a shard that the other joins."""
+    side = np.random.default_rng(7).normal(size=x.shape)
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    norm = np.linalg.norm(side, axis=1, keepdims=True)
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * side / np.maximum(norm, 1e-12)
+    near = [np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :max(2, visits)] for v in (x, y)]
+    meet = lambda p, q: (p[:, :visits, None] == q[:, None, :2]).any(axis=(1, 2))
+    return float((meet(*near) | meet(*near[::-1])).mean())
+
+
 def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id",
                     vector_col: str = "embedding", visits: int = 3,
                     least_recall: float = 0.95) -> DataFrame:
@@ -327,12 +382,15 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     if n == 0:
         alone = rows.select("row", "id", F.col("row").alias("component"), F.lit(0).cast("long").alias("n_links"))
         return finished(alone)
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(min(n, SAMPLE)).select("node", "vec").toArrow()
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(min(n, SAMPLE + AUDIT[-1])).select("node", "vec").toArrow()
     x = unit_vectors(sample["vec"].combine_chunks(), dimension)
-    k = max(1, min(MAX_CENTRES, len(x), math.ceil(n / (UNIT // 2))))
-    fitted = spark.sparkContext.broadcast(centres(x, k))
-    audit = spark.sparkContext.broadcast((sample["node"].to_numpy()[:AUDIT], x[:AUDIT]))
-    exact = exact_counts(classes, audit, dimension, least)
+    k = max(1, min(MAX_CENTRES, len(x[:SAMPLE]), math.ceil(n / (UNIT // 2))))
+    fitted = spark.sparkContext.broadcast(centres(x[:SAMPLE], k))
+    x = x[::-1]  # those that the centres were not fitted on come first
+    exact = audited(classes, sample["node"].to_numpy()[::-1], x, dimension, least)
+    if min(map(len, by_links(exact))) < ENOUGH:  # a class that the audit does not measure well
+        while visits < k and planted(x[:2000], fitted.value, visits, least) < least_recall:
+            visits *= 2
     while True:
         found, recall = one_search(classes, fitted, dimension, least, min(visits, k), exact)
         if recall >= least_recall or visits >= k:
@@ -358,7 +416,7 @@ def finished(rows: DataFrame) -> DataFrame:
 def one_search(classes: DataFrame, fitted: Broadcast, dimension: int, least: float, visits: int,
                exact: dict[int, int]) -> tuple[DataFrame, float]:
     """Build and search with ``visits`` shards per vector; the found rows and
-    the audited share of links."""
+    the audited recall, that of the worse class."""
     near = stage(assigned(classes.select("node", "copies", "vec"), fitted, dimension, max(2, visits)), "near")
     joins = near.select("node", "copies", "vec", "near",
                         F.explode(F.slice("near", 1, 2)).alias("shard"))
@@ -379,10 +437,9 @@ def one_search(classes: DataFrame, fitted: Broadcast, dimension: int, least: flo
              .join(F.broadcast(shards), "shard")
              .select("node", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("u"), "shard")
              .select("node", (F.col("shard").cast("long") * F.lit(1 << 32) + F.col("u")).alias("unit")))
-    found = searched(near, members, stage(first, "visits"), dimension, least)
-    wanted = sum(exact.values())
-    if not wanted:
-        return found, 1.0
-    got = (found.where((F.col("kind") == COUNT) & F.col("a").isin(list(exact)))
-           .groupBy("a").agg(F.sum("b").alias("n")).collect())
-    return found, sum(min(r["n"], exact[r["a"]]) for r in got) / wanted
+    audit = classes.sparkSession.sparkContext.broadcast(np.array(sorted(exact), np.int64))
+    found = searched(members, stage(first, "visits"), dimension, least, audit)
+    got = {r["a"]: r["n"] for r in found.where(F.col("kind") == AUDITED).groupBy("a")
+           .agg(F.sum("b").alias("n")).collect()}  # at most AUDIT[-1] rows
+    return found, min((sum(got.get(v, 0) / exact[v] for v in group) / len(group)
+                       for group in by_links(exact) if group), default=1.0)

@@ -103,6 +103,26 @@ def test_embeddings(spark, monkeypatch):
     assert [q.n_links for q in embedding_dedup.near_duplicates(nulls).collect()] == [0, 0]
 
 
+def test_embeddings_keep_pairs_beside_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "UNIT", 20)   # many shards
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 150)
+    r = np.random.default_rng(9)
+    one = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = one(r.normal(size=(1000, 64)))
+    side = r.normal(size=x.shape)
+    side = one(side - (side * x).sum(axis=1, keepdims=True) * x)
+    pairs = np.concatenate([x, 0.91 * x + np.sqrt(1 - 0.91 ** 2) * side])
+    crowd = one(r.normal(size=64)) + 0.01 * r.normal(size=(1000, 64))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(np.concatenate([pairs, crowd]))],
+                               "vec_id long, embedding array<float>").repartition(4)
+    out = {q.vec_id: q for q in embedding_dedup.near_duplicates(df, visits=1).collect()}
+    assert np.mean([out[i].n_links >= 1 for i in range(2000)]) >= 0.93
+    # links too rare for an audit: planted pairs set the visits
+    c = embedding_dedup.centres(x[:100], 100)
+    shares = [embedding_dedup.planted(x[100:], c, v, 0.9) for v in (1, 4, 100)]
+    assert shares[0] < shares[1] < shares[2] == 1.0
+
+
 BASE = [("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
                               r"""([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 8),
         ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
