@@ -25,9 +25,12 @@
 What is broadcast: at most ``MAX_CENTRES`` centres and ``AUDIT[-1]`` vectors
 (not those that the centres were fitted on, where there are enough others).
 
-Defined results: vectors that are null, of zero length, of another dimension
-than the most common one, or with null or non-finite components link with
-nothing; equal vectors and repeated rows link with each other; null ids are
+Vectors of different dimensions never link. Each dimension with more classes
+than a unit holds has shards and centres of its own, one after the other;
+the others are compared whole, a dimension at a time, in one job.
+
+Defined results: vectors that are null, of zero length, all zeros, or with null
+or non-finite components link with nothing; equal vectors and repeated rows link with each other; null ids are
 named as in ``components.named``; an empty table gives no rows.
 """
 
@@ -361,27 +364,31 @@ def planted(x: np.ndarray, c: np.ndarray, visits: int, least: float) -> float:
     return float((meet(*near) | meet(*near[::-1])).mean())
 
 
-def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id",
-                    vector_col: str = "embedding", visits: int = 3,
-                    least_recall: float = 0.95) -> DataFrame:
-    """One row per vector: ``row``, ``vec_id``, ``n_links``, ``component_id``,
-    ``kept``, ``first``."""
-    spark = table.sparkSession
-    rows, _ = numbered(table.select(F.col(id_col).cast("long").alias("id"),
-                                    F.col(vector_col).cast("array<float>").alias("vec")), "row")
-    rows = stage(rows, "vectors")
-    common = (rows.where("size(vec) > 0").groupBy(F.size("vec").alias("d")).count()
-              .orderBy(F.desc("count"), "d").first())
-    dimension = common["d"] if common else 1
-    fine = (F.size("vec") == dimension) & F.forall(
-        "vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(
-        "vec", lambda v: v != 0)
-    classes = stage(rows.where(F.coalesce(fine, F.lit(False))).groupBy("vec").agg(
-        F.min("row").alias("node"), F.count("*").alias("copies")), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        alone = rows.select("row", "id", F.col("row").alias("component"), F.lit(0).cast("long").alias("n_links"))
-        return finished(alone)
+def whole_kernel(least: float):
+    """All vectors of one dimension that fit into a unit, each with all."""
+    def kernel(part: pa.Table) -> pa.Table:
+        x = unit_vectors(part["vec"].combine_chunks(), part["d"][0].as_py())
+        node, copies = part["node"].to_numpy(), part["copies"].to_numpy()
+        near = np.zeros((len(x), len(x)), bool)
+        for lo in range(0, len(x), 512):
+            near[lo:lo + 512] = x[lo:lo + 512] @ x.T >= least
+        np.fill_diagonal(near, False)
+        a, b = np.nonzero(near)
+        united = Union(len(x))
+        united.unite(a, b)
+        below = np.flatnonzero(united.up != np.arange(len(x)))
+        got = np.flatnonzero(near.any(axis=1))
+        return pa.table({
+            "kind": np.repeat([COUNT, LINK], [len(got), len(below)]).astype(np.int32),
+            "a": np.concatenate([node[got], node[united.up[below]]]),
+            "b": np.concatenate([(near @ copies)[got], node[below]])})
+    return kernel
+
+
+def one_dimension(classes: DataFrame, dimension: int, n: int, least: float, visits: int,
+                  least_recall: float) -> DataFrame:
+    """The found rows for the ``n`` classes of one dimension."""
+    spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(min(n, SAMPLE + AUDIT[-1])).select("node", "vec").toArrow()
     x = unit_vectors(sample["vec"].combine_chunks(), dimension)
     k = max(1, min(MAX_CENTRES, len(x[:SAMPLE]), math.ceil(n / (UNIT // 2))))
@@ -394,8 +401,31 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     while True:
         found, recall = one_search(classes, fitted, dimension, least, min(visits, k), exact)
         if recall >= least_recall or visits >= k:
-            break
+            return found
         visits *= 2
+
+
+def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id",
+                    vector_col: str = "embedding", visits: int = 3,
+                    least_recall: float = 0.95) -> DataFrame:
+    """One row per vector: ``row``, ``vec_id``, ``n_links``, ``component_id``,
+    ``kept``, ``first``."""
+    rows, _ = numbered(table.select(F.col(id_col).cast("long").alias("id"),
+                                    F.col(vector_col).cast("array<float>").alias("vec")), "row")
+    rows = stage(rows, "vectors")
+    fine = (F.size("vec") > 0) & F.forall(
+        "vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(
+        "vec", lambda v: v != 0)
+    classes = stage(rows.where(F.coalesce(fine, F.lit(False))).groupBy("vec").agg(
+        F.min("row").alias("node"), F.count("*").alias("copies"))
+        .withColumn("d", F.size("vec")), "vector-classes")
+    sizes = stage(classes.groupBy("d").agg(F.count("*").alias("n")), "dimensions")
+    small = classes.join(sizes.where(F.col("n").between(2, UNIT)).select("d"), "d")
+    found = stage(small.select("d", "node", "copies", "vec").groupBy("d")
+                  .applyInArrow(whole_kernel(least), FOUND), "found")
+    for d, n in sizes.where(F.col("n") > UNIT).orderBy("d").collect():
+        found = found.union(one_dimension(classes.where(F.col("d") == d).select("vec", "node", "copies"),
+                                          d, n, least, visits, least_recall))
     counts = (found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("node"))
               .agg(F.sum("b").alias("linked")))
     linked = components(found.where(F.col("kind") == LINK).select("a", "b"))

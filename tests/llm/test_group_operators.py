@@ -123,6 +123,23 @@ def test_embeddings_keep_pairs_beside_a_crowd(spark, monkeypatch):
     assert shares[0] < shares[1] < shares[2] == 1.0
 
 
+def test_embeddings_of_several_dimensions(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    vectors = []
+    for d, n in ((16, 90), (8, 120), (3, 1), (24, 10)):
+        x = r.normal(size=(n, d))
+        vectors += [list(map(float, v)) for v in np.concatenate([x, x, 2 * x + 0.01]).astype(np.float32)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(3)
+    m = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    near = [(i, j) for i, v in enumerate(m) for j, w in enumerate(m) if i != j and len(v) == len(w) and v @ w >= 0.9]
+    top, links = groups(len(m), near), np.bincount([i for i, _ in near], minlength=len(m))
+    for unit in (1500, 60):  # small dimensions whole, larger ones searched
+        monkeypatch.setattr(embedding_dedup, "UNIT", unit)
+        out = {q.vec_id: q for q in embedding_dedup.near_duplicates(df).collect()}
+        assert np.mean([out[i].n_links == links[i] for i in out]) >= (1 if unit == 1500 else 0.97)
+        assert np.mean([out[i].component_id == top[i] for i in out]) >= (1 if unit == 1500 else 0.97)
+
+
 BASE = [("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
                               r"""([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 8),
         ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
