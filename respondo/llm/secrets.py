@@ -1,8 +1,10 @@
 """Secret scans by patterns and a battery of randomness tests.
 
 Three patterns (``BASE``) find assignments, access keys and hexadecimal
-runs. Beside them, every run of encoding characters is a candidate: its
-encoding is inferred from the characters in it, and it is tested
+runs. Beside them, every run of encoding characters is a candidate. Its
+encoding is inferred from the characters in it, without a short prefix
+(``sk-``) and without the hyphens between groups: hexadecimal, base 32, or
+else the kinds of characters that occur. Every candidate is tested
 
 * for a uniform alphabet (chi-squared), for runs above and below the
   alphabet's middle, and for serial correlation: what a random string would
@@ -10,7 +12,8 @@ encoding is inferred from the characters in it, and it is tested
 * against ordinary text of the same length and encoding: how often such
   text has an alphabet as even (chi-squared, shifted by the unevenness of
   ordinary letters) and as many changes between letters, capitals and
-  digits. The larger of the two tail probabilities is its p-value.
+  digits. The larger of the two tail probabilities is its p-value; with one
+  kind of characters alone, which has no changes, it is the first.
 
 False discoveries are controlled length by length: the candidates of one
 encoding and length class (a power of two) form a family, and the
@@ -38,15 +41,25 @@ BASE = {
     "hex": r"[0-9a-f]{32,}",
 }
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+PREFIX = r"^(?:[A-Za-z]{1,8}[-_]){1,2}(?=[A-Za-z0-9+/_-]{16,}$)"
+GROUPS = r"^[A-Za-z0-9]{4,}(?:-[A-Za-z0-9]{4,})+$"
+DIGITS, LOWER, UPPER, SIGNS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base36": DIGITS + LOWER,
+    "base64": UPPER + LOWER + DIGITS + SIGNS,  # - and _ count as + and /
+    "upper36": DIGITS + UPPER, "base62": UPPER + LOWER + DIGITS, "base52": UPPER + LOWER,
+    "lower26": LOWER, "upper26": UPPER, "base10": DIGITS,
+    "lower38": LOWER + DIGITS + SIGNS, "upper38": UPPER + DIGITS + SIGNS, "base54": UPPER + LOWER + SIGNS,
+    "lower28": LOWER + SIGNS, "upper28": UPPER + SIGNS, "base12": DIGITS + SIGNS, "signs": SIGNS,
 }
 #: Unevenness of ordinary text (alphabet size times the chance that two of
 #: its characters are equal, less one), and its rate of class changes.
-UNEVEN = {"hex": 0.9, "base32": 1.1, "base36": 1.2, "base64": 3.2}
+UNEVEN = {"hex": 0.9, "base32": 1.1, "base36": 1.2, "base64": 3.2, "upper36": 1.2, "base62": 3.1, "base52": 2.4,
+          "lower26": 0.7, "upper26": 0.7, "base10": 0.5, "lower38": 1.5, "upper38": 1.5, "base54": 2.5,
+          "lower28": 0.8, "upper28": 0.8, "base12": 1.0, "signs": 0.5}
+ONE_KIND = ["lower26", "upper26", "base10", "signs"]
 CHANGES = 0.15
 VETO = 1e-4
 BINS, PER_DECADE = 200, 10
@@ -91,14 +104,26 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def bare(s: Column) -> Column:
+    """The candidate without a short prefix and the hyphens between groups."""
+    rest = F.regexp_replace(s, PREFIX, "")
+    return F.when(rest.rlike(GROUPS), F.translate(rest, "-", "")).otherwise(rest)
+
+
 def encoding(s: Column) -> Column:
-    """The narrowest encoding whose alphabet holds the string; null for a
-    string of digits alone, of one kind of letters alone, or of no letters."""
-    digit, lower, upper = (s.rlike(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    """The narrowest encoding whose alphabet holds the string; every string
+    of candidate characters has one."""
+    digit, lower, upper, sign = (s.rlike(c) for c in ("[0-9]", "[a-z]", "[A-Z]", "[+/_-]"))
     return (F.when(s.rlike("^[0-9a-f]+$|^[0-9A-F]+$") & digit & (lower | upper), "hex")
-            .when(s.rlike("^[A-Z2-7]+$") & digit, "base32")
-            .when(s.rlike("^[a-z0-9]+$") & digit & lower, "base36")
-            .when(digit & lower & upper, "base64"))
+            .when(s.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+            .when(digit & lower & upper, F.when(sign, "base64").otherwise("base62"))
+            .when(digit & lower, F.when(sign, "lower38").otherwise("base36"))
+            .when(digit & upper, F.when(sign, "upper38").otherwise("upper36"))
+            .when(lower & upper, F.when(sign, "base54").otherwise("base52"))
+            .when(lower, F.when(sign, "lower28").otherwise("lower26"))
+            .when(upper, F.when(sign, "upper28").otherwise("upper26"))
+            .when(digit, F.when(sign, "base12").otherwise("base10"))
+            .otherwise("signs"))
 
 
 def judged(s: Column) -> Column:
@@ -113,7 +138,8 @@ def judged(s: Column) -> Column:
             out = out.when(name == k, F.lit(v))
         return out
 
-    named = F.struct(s.alias("s"), encoding(s).alias("e"))
+    def named(c: Column) -> Column:
+        return F.struct(c.s.alias("s"), encoding(c.s).alias("e"))
 
     def shape(c: Column) -> Column:
         plain = F.when(c.e == "hex", F.lower(c.s)).otherwise(F.translate(c.s, "-_", "+/"))
@@ -161,13 +187,13 @@ def judged(s: Column) -> Column:
         plain = (c.chi - df - shift) / F.sqrt(2 * (df + 2 * shift))
         many = (c.changes - 0.5 - (c.n - 1) * CHANGES) / F.sqrt((c.n - 1) * CHANGES * (1 - CHANGES))
         odd = F.least(upper_tail(even), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial)))
-        p = F.when(odd < VETO, 1.0).otherwise(F.greatest(upper_tail(-plain), upper_tail(many)))
+        p = F.when(odd < VETO, 1.0).otherwise(F.greatest(
+            upper_tail(-plain), F.when(c.e.isin(ONE_KIND), 0.0).otherwise(upper_tail(many))))
         return F.struct(F.concat_ws(":", c.e, F.floor(F.log2(c.n))).alias("family"),
                         F.least(F.lit(BINS), F.floor(-PER_DECADE * F.log10(F.greatest(p, F.lit(1e-30))))
                                 .cast("int")).alias("bin"))
 
-    out = then(then(then(then(named, shape), indexed), counted), tested)
-    return F.when(encoding(s).isNotNull(), out)
+    return then(then(then(then(then(F.struct(bare(s).alias("s")), named), shape), indexed), counted), tested)
 
 
 def spans_of(matches: Column, kind: str) -> Column:
@@ -189,8 +215,8 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         "hex": lambda m: F.length(m.s) >= 32,
     }
     spans = [spans_of(F.filter(f"__{kind}", long_enough[kind]), kind) for kind in BASE]
-    tests = F.filter(F.transform("__candidate", lambda m: F.struct(
-        m.start.alias("start"), m.end.alias("end"), judged(m.s).alias("t"))), lambda c: c.t.isNotNull())
+    tests = F.transform("__candidate", lambda m: F.struct(
+        m.start.alias("start"), m.end.alias("end"), judged(m.s).alias("t")))
     return stage(df.select(*keep, F.array_sort(F.concat(*spans)).alias("base"), tests.alias("tests")),
                  "secret-scan")
 

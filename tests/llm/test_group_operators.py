@@ -178,6 +178,26 @@ def test_secrets(spark, no_docs, tmp_path):
     assert secrets.find(no_docs).count() == 0
 
 
+def test_secrets_of_every_shape(spark):
+    r = random.Random(4)
+    lower, upper, digits = secrets.LOWER, secrets.UPPER, secrets.DIGITS
+    rand = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    shapes = [lambda: rand(60, upper + digits), lambda: "sk-" + rand(60, lower + digits),
+              lambda: rand(48, lower + upper), lambda: rand(60, lower + digits + "_-"),
+              lambda: rand(60, upper + digits + "+/"), lambda: rand(60, lower + upper + "-_"),
+              lambda: "-".join(rand(n, "0123456789abcdef") for n in (8, 8, 8, 8, 8, 8, 16))]
+    plain = ["path/to/some/long/file/name/without/digits", "a-long-title-of-words-joined-by-hyphens-in-it",
+             "AnotherIdentifierInCamelCaseWithoutDigits", "CONSTANT_NAME_OF_A_LONG_SETTING_VALUE", "-" * 40,
+             "2024010120240101202401012024010", "internationalisationsverfahren", "2024-01-01-2024-01-01-2024"]
+    texts = [f"see {shape()} here" for shape in shapes for _ in range(20)] + [f"see {p} here" for p in plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {q.doc_id: q.text for q in secrets.find(df).select(
+        "doc_id", secrets.redacted("text", "found").alias("text")).collect()}
+    for k in range(len(shapes)):
+        assert sum(got[i] == "see [SECRET] here" for i in range(20 * k, 20 * k + 20)) >= 15, k
+    assert [got[20 * len(shapes) + i] for i in range(len(plain))] == [f"see {p} here" for p in plain]
+
+
 def test_redaction_merges_overlaps(spark):
     rows = [("ab password=12345678 é" + "0123456789abcdef" * 3,), (None,), ("clean",)]
     df = spark.createDataFrame(rows, "text string")
