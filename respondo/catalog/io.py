@@ -9,9 +9,12 @@ back through :class:`StageStore`.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import json
+
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from respondo.catalog import decisions  # noqa: F401  (its oracles are used below)
@@ -184,19 +187,46 @@ def q_report_tables(spark, sf):
     return shape.union(b1).union(b2).union(d1).union(d2)
 
 
+def _save_preparation(store: StageStore, name: str, params: dict) -> dict:
+    """Fitted preparation parameters as a stage table of one row, and what is read back."""
+    store.write(name, store.spark.createDataFrame([(json.dumps(params),)], "params string"))
+    return json.loads(store.read(name).first()["params"])
+
+
+def _save_models(store: StageStore, fitted: dict) -> dict:
+    """Fitted models, each saved and loaded back."""
+    for name, model in fitted.items():
+        store.save_model(name, PipelineModel(stages=[model]))
+    return {name: store.load_model(name) for name in fitted}
+
+
 @register("save_load_models")
 def q_save_load_models(spark, sf):
-    """Fit a pipeline, save it to the shared folder, load it back, score."""
+    """Save the preparation parameters (imputers, encoder, scaler, selector),
+    the principal components of 95 % of the variance and the six base models
+    to the shared folder, load them back, prepare the raw rows and score:
+    metrics of every model, and the variance the loaded components keep."""
+    from respondo.catalog import modelling
     store = StageStore(spark)
-    df = splits.train_test_split(contacts(spark, sf, ["y", "duration", "discount", "tax"]), KEY, 30)
-    df = df.withColumn("label", F.col("y").cast("double"))
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=["duration", "discount", "tax"], outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)])
-    fitted = pipe.fit(df.where(F.col("split") == "train"))
-    store.save_model("logistic_pipeline", fitted)
-    loaded = store.load_model("logistic_pipeline")
-    p = loaded.transform(df)
-    pred = p.select("split", F.col("y"), models.positive_score(p).alias("score"),
-                    F.col("prediction").cast("int").alias("pred"))
-    return models.evaluate(pred, "logistic_reloaded")
+    prep, whole = modelling._prepared(spark, sf), modelling._prepared(spark, sf, k_best=None)
+    all_pcs = PCA(k=len(whole.feature_names), inputCol=models.FEATURES, outputCol="pcs").fit(modelling._train(whole))
+    kept = np.cumsum(all_pcs.explainedVariance.toArray())
+    k = min(len(kept), int(np.searchsorted(kept, 0.95)) + 1)
+    pca = PCA(k=k, inputCol=models.FEATURES, outputCol="pcs").fit(modelling._train(whole))
+    selected = _save_preparation(store, "preparation", prep.params)
+    encoded = _save_preparation(store, "preparation_all_features", whole.params)
+    loaded = _save_models(store, {**modelling._fitted(prep), "pca": pca})
+    components = loaded.pop("pca")
+
+    raw = contacts(spark, sf, ["y", *modelling.NUMERIC, *modelling.CATEGORICAL])
+    raw = splits.stratified_split(raw, KEY, "y", 0.3)
+    rows = models.with_scores(loaded, models.apply_preparation(raw, selected))
+    out = None
+    for name in loaded:
+        one = models.evaluate(rows.select("split", "y", F.col(f"p_{name}").alias("score"),
+                                          F.col(f"v_{name}").cast("int").alias("pred")), f"{name}_reloaded")
+        out = one if out is None else out.unionByName(one)
+    projected = components.transform(models.apply_preparation(raw, encoded)).where(F.col("split") == "train")
+    pcs = vector_to_array("pcs")
+    share = projected.agg(sum(F.variance(pcs[i]) for i in range(k)).alias("pca_variance"))
+    return out.crossJoin(share)  # one row

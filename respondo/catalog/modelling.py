@@ -139,12 +139,16 @@ def _base_models(prep):
 _FITTED: dict[int, dict] = {}
 
 
-def _base_scores(prep):
-    """Scores (``p_``) and predictions (``v_``) of the six base models, which
-    are fitted once for voting and stacking."""
+def _fitted(prep):
+    """The six base models, fitted once for voting, stacking and saving."""
     if id(prep) not in _FITTED:
         _FITTED[id(prep)] = models.fit_all(_base_models(prep), _train(prep))
-    return models.with_scores(_FITTED[id(prep)], prep.frame).withColumn(
+    return _FITTED[id(prep)]
+
+
+def _base_scores(prep):
+    """Scores (``p_``) and predictions (``v_``) of the six base models."""
+    return models.with_scores(_fitted(prep), prep.frame).withColumn(
         "y", F.col(models.LABEL).cast("int"))
 
 

@@ -34,6 +34,7 @@ class Prepared:
     frame: DataFrame          # key, label, split, fold, w, features (+ raw feature cols)
     feature_names: list[str]  # selected, in original order
     n_train: int
+    params: dict              # what was fitted, as numbers, strings, lists and dicts of them
 
 
 def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
@@ -47,8 +48,8 @@ def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
     base = splits.stratified_folds(base, key, target, folds)
     base = staged(base.withColumn(LABEL, F.col(target).cast("double")), "model-input")
     train = base.where(F.col("split") == "train")
-    base = features.impute(base, {**features.fit_medians(train, numeric),
-                                  **features.fit_modes(train, categorical)})
+    filled = {**features.fit_medians(train, numeric), **features.fit_modes(train, categorical)}
+    base = features.impute(base, filled)
     train = base.where(F.col("split") == "train")
     vocab = features.fit_categories(train, categorical)
     enc = base.select(*key, LABEL, "split", "fold", *numeric, *features.one_hot(vocab))
@@ -67,7 +68,20 @@ def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
     frame = staged(VectorAssembler(inputCols=names, outputCol=FEATURES).transform(weighted),
                    "model-frame")
     n_train = frame.where(F.col("split") == "train").count()
-    return Prepared(frame, names, n_train)
+    return Prepared(frame, names, n_train, {"impute": filled, "categories": vocab,
+                                            "standard": {c: list(map(float, v)) for c, v in params.items()},
+                                            "selected": names})
+
+
+def apply_preparation(df: DataFrame, params: dict) -> DataFrame:
+    """``df`` with the raw columns made ``features`` by what ``prepare`` fitted."""
+    numeric, categorical = list(params["standard"]), list(params["categories"])
+    rest = [c for c in df.columns if c not in {*numeric, *categorical}]
+    base = features.impute(df, params["impute"])
+    enc = base.select(*rest, *numeric, *features.one_hot(params["categories"]))
+    onehots = [c for c in enc.columns if c not in {*rest, *numeric}]
+    scaled = enc.select(*rest, *features.standardize(params["standard"]), *onehots)
+    return VectorAssembler(inputCols=params["selected"], outputCol=FEATURES).transform(scaled)
 
 
 # ---- estimators (reference best settings, re-aimed to Spark) ----------------------

@@ -100,3 +100,20 @@ def test_damaged_table(spark, tmp_path):
                     "41\tunknown\t1.Oca\t-0.1\n\tservices\t7\t\n")
     out = [tuple(r) for r in read_raw_contacts(spark, str(path)).collect()]
     assert out == [(30.0, "admin.", 100.0, 1.4), (41.0, "unknown", None, -0.1), (None, "services", 7.0, None)]
+
+
+def test_saved_models_and_preparation_score_raw_rows_alike(spark):
+    from respondo.catalog import io, modelling
+    from respondo.operators import models
+    from conftest import SF_SMALL
+    out = {r.model_name: r for r in io.q_save_load_models(spark, SF_SMALL).collect()}
+    prep = modelling._prepared(spark, SF_SMALL)
+    assert set(out) == {f"{n}_reloaded" for n in modelling._base_models(prep)}
+    rows = modelling._base_scores(prep)
+    for name in ("logistic_regression", "random_forest", "linear_svm"):  # as before they were saved
+        want = models.evaluate(rows.select("split", "y", F.col(f"p_{name}").alias("score"),
+                                           F.col(f"v_{name}").cast("int").alias("pred")), name).first()
+        got = out[f"{name}_reloaded"]
+        assert (got.tp, got.fp, got.tn, got.fn) == (want.tp, want.fp, want.tn, want.fn)
+        assert abs(got.roc_auc - want.roc_auc) < 1e-9
+    assert all(r.pca_variance > 0 for r in out.values())
