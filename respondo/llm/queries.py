@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondo.llm import (byte_bpe, embedding_dedup, lm_scores, minhash, oracles, packing, quality,
-                          secrets, sharding, token_counts, warc)
-from respondo.llm.common import broadcast_file, table
+from respondo.llm import (additive, byte_bpe, embedding_dedup, lm_scores, merkle, minhash, oracles, packing,
+                          quality, secrets, sharding, spelling, token_counts, warc)
+from respondo.llm.common import broadcast_file, stage, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {"op2_pruned_flat_graph": oracles.OP2, "op4_min_max_hashing": oracles.OP4,
-                          "op8_rule_ledger": oracles.OP8}
+                          "op8_rule_ledger": oracles.OP8, "op11_trie_frontier": oracles.OP11,
+                          "op12_time_forward_manifest": oracles.OP12}
 
 
 def query(fn):
@@ -94,3 +95,24 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query
+def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = stage(spelling.word_counts(table(spark, sf_dir, "documents"), every=199, least_len=6, least_n=5),
+                  "words")
+    return spelling.variants(words, times=5)
+
+
+@query
+def op12_time_forward_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"),
+                           F.when(tampered, merkle.ascii_lower(F.col("text"))))
+
+
+@query
+def op13_additive_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return additive.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                             F.crc32(name) % 4 == 2, at_least=0.7)
