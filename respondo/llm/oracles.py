@@ -76,9 +76,9 @@ hashed AS (SELECT run, n, {CRC.format(b="(" + CODES.format(s="coalesce(CAST(doc_
 changed AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2)
   ELSE run END AS word, n FROM hashed),
 words AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING SUM(n) >= 5),
-at AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
-blanks AS (SELECT word, n, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS form FROM at),
-cuts AS (SELECT DISTINCT word, n, substring(word, 1, i - 1) || substring(word, i + 1) AS form FROM at),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+blanks AS (SELECT word, n, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS form FROM spots),
+cuts AS (SELECT DISTINCT word, n, substring(word, 1, i - 1) || substring(word, i + 1) AS form FROM spots),
 pairs AS (SELECT a.word AS a, b.word AS b, b.n FROM blanks a JOIN blanks b ON a.form = b.form AND a.word <> b.word
   UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.form = w.word
   UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.form = w.word),
@@ -87,9 +87,9 @@ best AS (SELECT p.a, MIN(p.b) AS form FROM pairs p JOIN near m ON p.a = m.a AND
 forms AS (SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.most >= 5 * w.n THEN b.form END AS form,
   CASE WHEN m.most >= 5 * w.n THEN m.most END AS form_n
   FROM words w LEFT JOIN near m ON m.a = w.word LEFT JOIN best b ON b.a = w.word),
-walk AS (SELECT word, word AS at FROM forms
-  UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
-roots AS (SELECT w.word, w.at AS root FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+walk AS (SELECT word, word AS here FROM forms
+  UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.here AS root FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NULL)
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word"""
 
 FIELD = "coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
