@@ -42,7 +42,8 @@ BASE = {
 }
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 PREFIX = r"^(?:[A-Za-z]{1,8}[-_]){1,2}(?=[A-Za-z0-9+/_-]{16,}$)"
-GROUPS = r"^[A-Za-z0-9]{4,}(?:-[A-Za-z0-9]{4,})+$"
+#: possessive: the matcher loops over the groups instead of recursing into each
+GROUPS = r"^[A-Za-z0-9]{4,}+(?:-[A-Za-z0-9]{4,}+)++$"
 DIGITS, LOWER, UPPER, SIGNS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/"
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -65,34 +66,45 @@ VETO = 1e-4
 BINS, PER_DECADE = 200, 10
 
 
-def lengths_before(sizes: Column, block: int = 128) -> Column:
-    """Running totals before each element, by blocks, so that very many
-    matches in one text cost little more than few."""
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    n = F.size(sizes)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(block)),
-                         lambda b: total(F.slice(sizes, b + 1, F.lit(block))))
-    return F.transform(sizes, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int")))
-                       + total(F.slice(sizes, F.floor(i / block).cast("int") * block + 1, i % block)))
+def bound(value: Column, use) -> Column:
+    """``use(value)``, ``value`` being evaluated once: inside a lambda an
+    expression would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, merge, start: Column, levels: int = 2, block: int = 64) -> Column:
+    """For each element, ``merge`` of ``start`` and the elements before it
+    (``values`` is bound). Blocks are merged first and their running results
+    found likewise, so that a text with very many matches costs little more
+    per match than one with few."""
+    def total(x: Column) -> Column:
+        return F.aggregate(x, start, merge)
+    if not levels:
+        return F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(block)),
+                         lambda k: total(F.slice(values, k + 1, F.lit(block))))
+    return bound(blocks, lambda b: bound(running(b, merge, start, levels - 1, block), lambda before: F.transform(
+        values, lambda _, i: F.aggregate(
+            F.slice(values, i - i % block + 1, i % block),
+            F.get(before, F.floor(i / block).cast("int")), merge))))
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     """Add ``name``: array of (start, end, s) of all matches, left to right."""
-    found, gaps, at = f"__{name}_found", f"__{name}_gaps", f"__{name}_at"
-    hit = F.col(text).rlike(pattern)
     empty = "CAST(array() AS array<struct<start:int,end:int,s:string>>)"
-    return (df
-            .withColumn(found, F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-            .withColumn(gaps, F.when(F.size(found) > 0, F.transform(F.split(text, pattern, -1), F.length)))
-            .withColumn(at, F.when(F.size(found) > 0, lengths_before(
-                F.zip_with(F.slice(F.col(gaps), F.lit(1), F.size(found)), F.col(found),
-                           lambda g, m: g + F.length(m)))))
-            .withColumn(name, F.coalesce(F.when(F.size(found) > 0, F.transform(
-                F.col(found), lambda m, i: F.struct(
+
+    def spans(found: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + F.length(m))
+            return bound(sizes, lambda z: bound(running(z, lambda a, v: a + v, F.lit(0)), lambda at: F.transform(
+                found, lambda m, i: F.struct(
                     (F.get(at, i) + F.get(gaps, i)).alias("start"),
-                    (F.get(at, i) + F.get(gaps, i) + F.length(m)).alias("end"), m.alias("s")))),
-                F.expr(empty)))
-            .drop(found, gaps, at))
+                    (F.get(at, i) + F.get(gaps, i) + F.length(m)).alias("end"), m.alias("s")))))
+        return F.when(F.size(found) > 0, bound(F.transform(F.split(text, pattern, -1), F.length), placed))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return df.withColumn(name, F.coalesce(
+        F.when(F.col(text).rlike(pattern), bound(found, spans)), F.expr(empty)))
 
 
 def upper_tail(z: Column) -> Column:
@@ -128,9 +140,8 @@ def encoding(s: Column) -> Column:
 
 def judged(s: Column) -> Column:
     """The candidate's statistics step by step, as nested structs: each step
-    is a one-element transform, so that it is evaluated once."""
-    def then(struct: Column, step) -> Column:
-        return F.get(F.transform(F.array(struct), step), F.lit(0))
+    is bound, so that it is evaluated once."""
+    then = bound
 
     def pick(name: Column, values: dict) -> Column:
         out = F.when(name == next(iter(values)), F.lit(next(iter(values.values()))))
@@ -217,7 +228,7 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     spans = [spans_of(F.filter(f"__{kind}", long_enough[kind]), kind) for kind in BASE]
     tests = F.transform("__candidate", lambda m: F.struct(
         m.start.alias("start"), m.end.alias("end"), judged(m.s).alias("t")))
-    return stage(df.select(*keep, F.array_sort(F.concat(*spans)).alias("base"), tests.alias("tests")),
+    return stage(df.select(*keep, F.array_sort(F.concat(*spans)).alias("base"), tests.alias("__tests")),
                  "secret-scan")
 
 
@@ -226,7 +237,7 @@ def limits(scanned: DataFrame, rate: float) -> dict[str, int]:
     p-value, times the family's candidates, is at most ``rate`` times the
     candidates with a p-value as small. At most one row per encoding and
     power of two is collected."""
-    counts = (scanned.select(F.explode("tests.t").alias("t")).groupBy("t.family", "t.bin")
+    counts = (scanned.select(F.explode("__tests.t").alias("t")).groupBy("t.family", "t.bin")
               .agg(F.count("*").alias("n")))
     by_family = counts.groupBy("family").agg(
         F.sum("n").alias("m"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
@@ -239,17 +250,42 @@ def limits(scanned: DataFrame, rate: float) -> dict[str, int]:
             .where("least is not null").collect()}
 
 
+def untouched(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` (start, kind, end; sorted, apart from each other)
+    that no span of ``base`` overlaps: among all of them by start, no base
+    span before one reaches into it, and none after it begins in it."""
+    none = F.lit(1 << 30)
+
+    def checked(events: Column) -> Column:
+        ends = F.transform(events, lambda x: F.when(x.mine, 0).otherwise(x.end))
+        starts = F.reverse(F.transform(events, lambda x: F.when(x.mine, none).otherwise(x.start)))
+        return bound(ends, lambda e: bound(starts, lambda s: bound(
+            running(e, lambda a, v: F.greatest(a, v), F.lit(0)), lambda reach: bound(
+                F.reverse(running(s, lambda a, v: F.least(a, v), none)), lambda after: F.filter(
+                    events, lambda x, i: x.mine & (F.get(reach, i) <= x.start) & (F.get(after, i) >= x.end))))))
+
+    def marked(x: Column, mine: bool) -> Column:
+        return F.transform(x, lambda s: F.struct(
+            s.start.alias("start"), F.lit(mine).alias("mine"), s.end.alias("end"), s.kind.alias("kind")))
+
+    kept = bound(F.array_sort(F.concat(marked(base, False), marked(spans, True))), checked)
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.transform(kept, lambda x: F.struct(
+        x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))).otherwise(spans)
+
+
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
          rate: float = 0.01) -> DataFrame:
     """``keep`` (all columns by default), ``base`` (spans of the patterns)
     and ``found`` (with the random strings that no base span touches):
-    sorted arrays of (start, kind, end), kind being a place in ``KINDS``."""
-    scanned = scan(docs, text_col, docs.columns if keep is None else keep)
+    sorted arrays of (start, kind, end), kind being a place in ``KINDS``.
+    Kept columns of these two names are replaced."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "found")]
+    scanned = scan(docs, text_col, kept)
     least = F.create_map(*[F.lit(x) for pair in {"": BINS + 1, **limits(scanned, rate)}.items()
                            for x in pair])
-    extra = F.filter("tests", lambda c: (c.t.bin >= F.coalesce(least[c.t.family], F.lit(BINS + 1)))
-                     & ~F.exists("base", lambda b: (b.start < c.end) & (c.start < b.end)))
-    return scanned.withColumn("found", F.array_sort(F.concat("base", spans_of(extra, "random")))).drop("tests")
+    likely = F.filter("__tests", lambda c: c.t.bin >= F.coalesce(least[c.t.family], F.lit(BINS + 1)))
+    extra = bound(spans_of(likely, "random"), lambda spans: untouched(spans, F.col("base")))
+    return scanned.withColumn("found", F.array_sort(F.concat("base", extra))).drop("__tests")
 
 
 def listed(spans: str) -> Column:
@@ -263,17 +299,36 @@ def count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s.kind == KINDS.index(kind))).cast("long")
 
 
+def cut(text: Column, ranges: Column, levels: int = 2, block: int = 64) -> Column:
+    """The parts of ``text`` that ``ranges`` (start, end; sorted, apart from
+    each other; bound) lists. Finding a code point takes a scan from the
+    text's begin, so stretches with many parts are cut out first."""
+    def within(text: Column, offset: Column, ranges: Column, levels: int) -> Column:
+        if not levels:
+            return F.transform(ranges, lambda r: F.substr(text, r.start - offset + 1, r.end - r.start))
+        many = block ** levels
+        return F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(ranges) - 1, F.lit(many)),
+            lambda k: bound(F.slice(ranges, k + 1, F.lit(many)), lambda part: bound(
+                F.get(part, F.lit(0)).start, lambda first: bound(
+                    F.substr(text, first - offset + 1, F.element_at(part, -1).end - first),
+                    lambda stretch: within(stretch, first, part, levels - 1))))))
+    return within(text, F.lit(0), ranges, levels)
+
+
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced."""
-    blank = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    whole = F.aggregate(spans, blank, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1).end > s.start),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-            last(acc).start.alias("start"), F.greatest(last(acc).end, s.end).alias("end")))))
-        .otherwise(F.concat(acc, F.array(F.struct(s.start.alias("start"), s.end.alias("end"))))))
-    ends = F.concat(whole, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end"))))
-    gaps = F.transform(ends, lambda s, i: F.col(text).substr(
-        F.when(i > 0, F.get(ends, i - 1).end).otherwise(0) + 1,
-        s.start - F.when(i > 0, F.get(ends, i - 1).end).otherwise(0)))
-    return F.when(F.size(spans) > 0, F.array_join(gaps, mark)).otherwise(F.col(text))
+    """The text with every span (overlapping ones as one) replaced. A span
+    that begins where all earlier ones have ended begins a replacement;
+    what lies between is kept."""
+    def kept(s: Column) -> Column:
+        def ranges(reach: Column) -> Column:
+            gaps = F.zip_with(s, reach, lambda x, r: F.struct(r.alias("start"), x.start.alias("end"), x.end.alias("to")))
+            # spans that only touch stay two replacements, with nothing between them
+            between = F.filter(gaps, lambda g: g.start <= g.end)
+            end = F.struct(F.array_max(F.transform(s, lambda x: x.end)).alias("start"),
+                           F.length(text).alias("end"), F.lit(0).alias("to"))
+            return F.concat(between, F.array(end))
+        ends = F.transform(s, lambda x: x.end)
+        return bound(bound(ends, lambda e: bound(running(e, lambda a, v: F.greatest(a, v), F.lit(0)), ranges)),
+                     lambda r: F.array_join(cut(F.col(text), r), mark))
+    return F.when(F.size(spans) > 0, bound(F.col(spans), kept)).otherwise(F.col(text))
