@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 from respondo.llm import minhash, packing, quality, secrets
 from respondo.llm.common import broadcast_file, stage, table, without_rows
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns beyond those of ``documents`` under names
+    that no operator uses, and which name stands for which column."""
+    names = {f"__extra_{i}" if c not in COLUMNS else c: c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule policy rejects go."""
-    return (quality.ledger(docs).where(quality.passes("v1"))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    own, names = aside(docs)
+    return quality.ledger(own).where(quality.passes("v1")).select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +41,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    found = secrets.find(docs)
+    own, names = aside(docs)
+    found = secrets.find(own)
     clean = secrets.redacted("text", "found")
     changed = F.size("found") > 0
     return found.select(*[
         clean.alias("text") if c == "text"
         else F.when(changed, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-        if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+        if c == "n_chars" else F.col(n).alias(c) for n, c in names.items()])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, packed into sequences of 2048 ids."""
+    """The pieces of the documents with their ids, packed into sequences of 2048."""
     vocabulary = broadcast_file(spark, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(docs, vocabulary, capacity=2048, separator=0)
+    return packing.pack(docs, vocabulary, capacity=2048, separator=0, with_ids=True)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates),
