@@ -84,6 +84,11 @@ def apply_preparation(df: DataFrame, params: dict) -> DataFrame:
     return VectorAssembler(inputCols=params["selected"], outputCol=FEATURES).transform(scaled)
 
 
+def active():
+    from pyspark.sql import SparkSession
+    return SparkSession.getActiveSession()
+
+
 # ---- estimators (reference best settings, re-aimed to Spark) ----------------------
 
 def logistic(n_train: int, c: float = 1.0, balanced: bool = True) -> LogisticRegression:
