@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from respondo.catalog import decisions  # noqa: F401  (its oracles are used below)
-from respondo.catalog.registry import ORACLE, register
+from respondo.catalog import decisions, profiling  # noqa: F401  (their queries are used below)
+from respondo.catalog.registry import ORACLE, QUERIES, register
 from respondo.catalog.segments import SEGMENT_COLUMNS, _segment_rates_sql
 from respondo.functions.scalar import coerce_numeric, r6
 from respondo.operators import features, models, profile, splits
@@ -109,32 +108,57 @@ def q_scan_with_fallback(spark, sf):
     return store.read_or("selected_features", lambda: contacts(spark, sf, ["y", "duration"]))
 
 
-def _basic_features(spark, sf):
-    df = contacts(spark, sf, ["y", "duration", "pdays", "previous", "job", "contact"])
-    vocab = features.fit_categories(df, ["job", "contact"])
-    params = features.fit_standard(df, ["duration", "pdays", "previous"])
-    return df.select(*KEY, "y", *features.standardize(params), *features.one_hot(vocab))
+def _sealed(store: StageStore, name: str, df):
+    """Write a stage table and read it back: (stage, rows, whether count and
+    value hashes are those that were written)."""
+    total = [F.count(F.lit(1)).alias("rows"),
+             F.sum(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 40))).alias("check")]
+    seen = Observation(name)
+    store.write(name, df.observe(seen, *total))
+    written, back = seen.get, store.read(name).agg(*total).first()
+    return name, back["rows"], (back["rows"], back["check"]) == (written["rows"], written["check"])
+
+
+STAGE_CATEGORIES = ["job", "education", "contact", "poutcome", "marital"]
 
 
 @register("sink_stage_tables", with_contacts(
-    "SELECT COUNT(*) AS rows, 'preprocessed_basic' AS stage FROM contacts UNION ALL "
-    "SELECT COUNT(*), 'preprocessed_selected' FROM contacts UNION ALL "
-    "SELECT COUNT(DISTINCT y), 'class_balance' FROM contacts"))
+    "SELECT stage, rows, TRUE AS same FROM ("
+    "SELECT 'basic' AS stage, COUNT(*) AS rows FROM contacts UNION ALL SELECT 'selected', COUNT(*) FROM contacts "
+    "UNION ALL SELECT 'pca', COUNT(*) FROM contacts UNION ALL SELECT 'components', 8 + "
+    + " + ".join(f"COUNT(DISTINCT {c}) - 1" for c in STAGE_CATEGORIES) + " FROM train "
+    "UNION ALL SELECT 'smote', CAST(2 * MAX(n) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM train GROUP BY y))",
+    "train AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, " + ", ".join(KEY) + ") AS place, "
+    "FLOOR(COUNT(*) OVER (PARTITION BY y) * 0.3 + 0.5) AS wanted "
+    f"FROM (SELECT *, {splits.key_hash_sql(KEY)} AS h FROM contacts)) WHERE place > wanted)"))
 def q_sink_stage_tables(spark, sf):
-    """Write the basic, selected and balanced-class stage tables; report
-    what was read back."""
+    """The five stage tables: encoded and scaled features (basic), the K best
+    of them (selected), all rows on the principal components (pca), the
+    loadings of these (components), and the balanced training rows (smote)."""
+    from respondo.catalog import modelling
+    from respondo.operators.resample import smote
     store = StageStore(spark)
-    basic = _basic_features(spark, sf)
-    store.write("preprocessed_basic", basic)
-    store.write("preprocessed_selected", store.read("preprocessed_basic")
-                .select(*KEY, "y", "duration", "pdays"))
-    store.write("class_balance", profile.class_balance(store.read("preprocessed_basic"), "y"))
-    parts = [store.read(n).agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(n))
-             for n in ("preprocessed_basic", "preprocessed_selected", "class_balance")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    prep = models.prepare(contacts(spark, sf, ["y", *modelling.NUMERIC, *STAGE_CATEGORIES]), KEY, "y",
+                          modelling.NUMERIC, STAGE_CATEGORIES, k_best=None)
+    names, rest = prep.feature_names, [*KEY, models.LABEL, "split"]
+    train = prep.frame.where(F.col("split") == "train")
+    best = {r["feature"] for r in features.select_k_best(features.anova_f(train, names, models.LABEL), 10)
+            .where("selected").collect()}
+    chosen = [n for n in names if n in best]
+    pca, _ = modelling.components(prep)
+    loadings = pca.pc.toArray().tolist()  # a row per feature
+    k = len(loadings[0])
+    pcs = vector_to_array("pcs")
+    tables = {
+        "basic": prep.frame.select(*rest, *names),
+        "selected": prep.frame.select(*rest, *chosen),
+        "pca": pca.transform(prep.frame).select(*rest, *[pcs[i].alias(f"pc_{i + 1}") for i in range(k)]),
+        "components": spark.createDataFrame([(n, *map(float, v)) for n, v in zip(names, loadings)],
+                                            "feature string" + "".join(f", pc_{i + 1} double" for i in range(k))),
+        "smote": smote(train.select(*KEY, *chosen, models.LABEL), KEY, chosen, models.LABEL, k=5),
+    }
+    return spark.createDataFrame([_sealed(store, n, t) for n, t in tables.items()],
+                                 "stage string, rows long, same boolean")
 
 
 @register("sink_metrics_csv", ORACLE["model_comparison"])
@@ -163,28 +187,40 @@ def q_sink_test_split(spark, sf):
     return store.write_if_absent("test_split", build)
 
 
-@register("report_tables", with_contacts(
-    "SELECT 'shape' AS section, 'contacts' AS key, 'rows' AS metric, CAST(COUNT(*) AS DOUBLE) AS value "
-    "FROM contacts UNION ALL "
-    "SELECT 'class_balance', CAST(y AS VARCHAR), 'rows', CAST(COUNT(*) AS DOUBLE) FROM contacts GROUP BY y "
-    "UNION ALL SELECT 'class_balance', CAST(y AS VARCHAR), 'pct', "
-    "ROUND(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () * 100.0, 9) FROM contacts GROUP BY y "
-    "UNION ALL SELECT 'describe', 'duration', 'mean', ROUND(AVG(duration), 9) FROM contacts "
-    "UNION ALL SELECT 'describe', 'duration', 'p50', ROUND(quantile_cont(duration, 0.5), 9) FROM contacts"))
+#: section -> (query whose rows it has, its key, its figures)
+REPORT = {
+    "shape": ("shape_count", "'contacts'", ["rows"]),
+    "nulls": ("null_profile", "feature", ["count", "pct"]),
+    "unknowns": ("unknown_profile", "feature", ["count", "pct"]),
+    "describe": ("describe_numeric", "feature", ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]),
+    "value_counts": ("value_counts", "concat(feature, '=', value)", ["count", "pct"]),
+    "class_balance": ("class_balance", "CAST(y AS {string})", ["rows", "pct"]),
+    "correlations": ("correlation_matrix", "concat(a, ' ', b)", ["corr"]),
+    "segments": ("segment_response_rate", "concat(feature, '=', value)", ["rows", "positives", "rate_pct"]),
+    "models": ("model_comparison", "model_name", ["accuracy", "precision", "recall", "f1", "roc_auc"]),
+    "thresholds": ("profit_sweep", "CAST(ROUND(threshold, 2) AS {string})", ["profit", "roi"]),
+}
+
+
+def _report_sql() -> str:
+    parts = [f"SELECT '{section}' AS section, {key.format(string='VARCHAR')} AS key, '{v}' AS metric, "
+             f"CAST({v} AS DOUBLE) AS value FROM ({ORACLE[name]})"
+             for section, (name, key, values) in REPORT.items() for v in values]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("report_tables", _report_sql())
 def q_report_tables(spark, sf):
-    """Report figures as one long ``(section, key, metric, value)`` table."""
-    df = contacts(spark, sf, ["y", "duration"], key=False)
-    shape = profile.shape(df).select(F.lit("shape").alias("section"), F.lit("contacts").alias("key"),
-                                     F.lit("rows").alias("metric"),
-                                     F.col("rows").cast("double").alias("value"))
-    bal = profile.class_balance(df, "y")
-    b1 = bal.select(F.lit("class_balance"), F.col("y").cast("string"), F.lit("rows"),
-                    F.col("rows").cast("double"))
-    b2 = bal.select(F.lit("class_balance"), F.col("y").cast("string"), F.lit("pct"), F.col("pct"))
-    d = profile.describe_numeric(df, ["duration"])
-    d1 = d.select(F.lit("describe"), F.col("feature"), F.lit("mean"), r6("mean"))
-    d2 = d.select(F.lit("describe"), F.col("feature"), F.lit("p50"), r6("p50"))
-    return shape.union(b1).union(b2).union(d1).union(d2)
+    """Every section's figures as one long ``(section, key, metric, value)``
+    table; each section is one pass for all of its figures."""
+    out = None
+    for section, (name, key, values) in REPORT.items():
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value"))
+                                   for v in values])).alias("e")
+        part = QUERIES[name](spark, sf).select(F.lit(section).alias("section"), F.expr(key.format(string="STRING"))
+                                               .alias("key"), each).select("section", "key", "e.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _save_preparation(store: StageStore, name: str, params: dict) -> dict:
@@ -209,24 +245,27 @@ def q_save_load_models(spark, sf):
     from respondo.catalog import modelling
     store = StageStore(spark)
     prep, whole = modelling._prepared(spark, sf), modelling._prepared(spark, sf, k_best=None)
-    all_pcs = PCA(k=len(whole.feature_names), inputCol=models.FEATURES, outputCol="pcs").fit(modelling._train(whole))
-    kept = np.cumsum(all_pcs.explainedVariance.toArray())
-    k = min(len(kept), int(np.searchsorted(kept, 0.95)) + 1)
-    pca = PCA(k=k, inputCol=models.FEATURES, outputCol="pcs").fit(modelling._train(whole))
+    pca, _ = modelling.components(whole)
+    k = pca.getK()
     selected = _save_preparation(store, "preparation", prep.params)
     encoded = _save_preparation(store, "preparation_all_features", whole.params)
-    loaded = _save_models(store, {**modelling._fitted(prep), "pca": pca})
+    saved = modelling._fitted(prep)
+    loaded = _save_models(store, {**saved, "pca": pca})
     components = loaded.pop("pca")
 
-    raw = contacts(spark, sf, ["y", *modelling.NUMERIC, *modelling.CATEGORICAL])
+    raw = modelling.responses(contacts(spark, sf, [*modelling.NUMERIC, *modelling.CATEGORICAL]))
     raw = splits.stratified_split(raw, KEY, "y", 0.3)
     rows = models.with_scores(loaded, models.apply_preparation(raw, selected))
+    again = rows.select(models.FEATURES, *[F.col(f"p_{n}").alias(f"loaded_{n}") for n in loaded])
+    differ = models.with_scores(saved, again).agg(
+        *[F.max(F.abs(F.col(f"p_{n}") - F.col(f"loaded_{n}"))).alias(n) for n in loaded]).first()
+    projected = components.transform(models.apply_preparation(raw, encoded)).where(F.col("split") == "train")
+    pcs = vector_to_array("pcs")
+    share = projected.agg(sum(F.variance(pcs[i]) for i in range(k))).first()[0]
     out = None
     for name in loaded:
         one = models.evaluate(rows.select("split", "y", F.col(f"p_{name}").alias("score"),
                                           F.col(f"v_{name}").cast("int").alias("pred")), f"{name}_reloaded")
+        one = one.withColumn("max_score_difference", F.lit(float(differ[name])))
         out = one if out is None else out.unionByName(one)
-    projected = components.transform(models.apply_preparation(raw, encoded)).where(F.col("split") == "train")
-    pcs = vector_to_array("pcs")
-    share = projected.agg(sum(F.variance(pcs[i]) for i in range(k)).alias("pca_variance"))
-    return out.crossJoin(share)  # one row
+    return out.withColumn("pca_variance", F.lit(float(share)))

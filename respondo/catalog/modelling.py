@@ -8,6 +8,8 @@ split through the distributed metric operators.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -192,29 +194,41 @@ def q_stacking(spark, sf):
                                       (F.col("stacked") >= 0.5).cast("int").alias("pred")), "stacking")
 
 
-def _importances(spark, prep, model):
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(n, i, float(v)) for i, (n, v) in enumerate(zip(prep.feature_names, imp))]
-    return spark.createDataFrame(rows, "feature string, position int, importance double")
+_RANKED: dict[tuple, list] = {}
+
+
+def _ranked_features(prep):
+    """(feature, importance), best first, of the 100-tree forest on all
+    features: fitted once for importances, nested sets and their forests."""
+    key = next(k for k, v in _PREPARED.items() if v is prep)
+    if key not in _RANKED:
+        rf = models.forest(num_trees=100, balanced=False).fit(_train(prep))
+        _RANKED[key] = sorted(zip(prep.feature_names, rf.featureImportances.toArray().tolist()),
+                              key=lambda t: -t[1])
+    return _RANKED[key]
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     prep = _prepared(spark, sf, k_best=None)
-    rf = models.forest(num_trees=100, balanced=False).fit(_train(prep))
-    imp = _importances(spark, prep, rf)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "position")
-    return imp.withColumn("rank", F.row_number().over(w))
+    rows = [(n, prep.feature_names.index(n), float(v), i + 1) for i, (n, v) in enumerate(_ranked_features(prep))]
+    return spark.createDataFrame(rows, "feature string, position int, importance double, rank int")
+
+
+@register("nested_topk_features")
+def q_nested_topk_features(spark, sf):
+    """Nested top-5/10/15/20 feature sets in the order of the forest's
+    importances."""
+    ranked = _ranked_features(_prepared(spark, sf, k_best=None))
+    rows = [(k, n, i + 1) for k in (5, 10, 15, 20) for i, (n, _) in enumerate(ranked[:k])]
+    return spark.createDataFrame(rows, "top_k int, feature string, rank int")
 
 
 @register("feature_set_comparison")
 def q_feature_set_comparison(spark, sf):
     """The same forest on the top 5 / 10 / 15 / 20 features by importance."""
     prep = _prepared(spark, sf, k_best=None)
-    train = _train(prep)
-    rf = models.forest(num_trees=100, balanced=False).fit(train)
-    imp = rf.featureImportances.toArray().tolist()
-    order = [n for _, n in sorted(zip(imp, prep.feature_names), key=lambda t: -t[0])]
+    order = [n for n, _ in _ranked_features(prep)]
     base = prep.frame.select(*KEY, "split", models.LABEL, *prep.feature_names)
 
     def one(k):
@@ -276,28 +290,26 @@ def q_permutation_importance(spark, sf):
         .select("feature", "f1", (F.col("f1_base") - F.col("f1")).alias("f1_drop"))
 
 
+def components(prep):
+    """The smallest number of principal components whose cumulative explained
+    variance reaches 0.95: (model of that many, ratios of all). The features
+    are standardized on the training rows, so they are centred there."""
+    train = _train(prep)
+    whole = PCA(k=len(prep.feature_names), inputCol=models.FEATURES, outputCol="pcs").fit(train)
+    ratios = whole.explainedVariance.toArray().tolist()
+    k = next((i + 1 for i, c in enumerate(accumulate(ratios)) if c >= 0.95), len(ratios))
+    return PCA(k=k, inputCol=models.FEATURES, outputCol="pcs").fit(train), ratios[:k]
+
+
 @register("pca_95")
 def q_pca_95(spark, sf):
-    """Principal components of the standardized encoded features; keeps
-    the smallest k whose cumulative explained variance reaches 0.95."""
+    """Principal components of the standardized encoded features: ratios and
+    loadings (the projected rows are the ``pca`` stage table)."""
     prep = _prepared(spark, sf, k_best=None)
-    train = _train(prep)
-    d = len(prep.feature_names)
-    model = PCA(k=d, inputCol=models.FEATURES, outputCol="pcs").fit(train)
-    ratios = model.explainedVariance.toArray().tolist()
+    model, ratios = components(prep)
     loadings = model.pc.toArray().T.tolist()  # a row per component: features x features numbers
-    cum, k = 0.0, d
-    for i, r in enumerate(ratios):
-        cum += r
-        if cum >= 0.95:
-            k = i + 1
-            break
-    rows = []
-    cum = 0.0
-    for i, r in enumerate(ratios[:k]):
-        cum += r
-        rows.append((i + 1, float(r), float(cum),
-                     dict(zip(prep.feature_names, map(float, loadings[i])))))
+    rows = [(i + 1, float(r), float(c), dict(zip(prep.feature_names, map(float, loadings[i]))))
+            for i, (r, c) in enumerate(zip(ratios, accumulate(ratios)))]
     return spark.createDataFrame(rows, "component int, explained_variance_ratio double, "
                                        "cumulative double, loadings map<string,double>")
 

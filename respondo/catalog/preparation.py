@@ -401,11 +401,11 @@ def q_select_k_best(spark, sf):
                       "selected")
 
 
-@register("nested_topk_features", with_contacts(
+@register("nested_topk_by_f", with_contacts(
     "SELECT CAST(k AS INTEGER) AS top_k, feature, rank FROM (" + _kbest_sql() + "), "
     "(VALUES (5), (10), (15), (20)) AS s(k) WHERE rank <= k"))
-def q_nested_topk_features(spark, sf):
-    """Nested top-5/10/15/20 feature sets, ranked once (here by ANOVA F)."""
+def q_nested_topk_by_f(spark, sf):
+    """Nested top-5/10/15/20 feature sets, ranked once by ANOVA F."""
     scores, _ = _kbest_scores(spark, sf)
     ranked = features.select_k_best(scores, K_BEST)
     sets = F.array(*[F.lit(k) for k in (5, 10, 15, 20)])

@@ -83,17 +83,24 @@ def one_hot(vocab: dict[str, list[str]], drop_first: bool = True,
 
 
 def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1. The distinct values are counted
-    (bounded check) before they are ranked in one small window, then the
-    code table is joined back by broadcast."""
-    from respondo.sources.tables import fits
+    """Sorted distinct values -> 0..k-1, for any number of values: they are
+    sorted over all tasks, numbered inside each, and moved up by the number
+    of values in earlier tasks (one row per task). The code table is
+    broadcast only where it has at most ``MAX_CATEGORIES`` rows. NULL has no
+    code."""
+    from respondo.session import staged
+    from respondo.sources.tables import sized_broadcast
     out = out or f"{column}_code"
-    values = df.select(column).distinct().where(F.col(column).isNotNull())
-    if not fits(values, MAX_CATEGORIES):
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
-    codes = values.withColumn(out, (F.dense_rank().over(
-        Window.partitionBy(F.lit(0)).orderBy(column)) - 1).cast("int"))
-    return df.join(F.broadcast(codes), column, "left")
+    placed = staged(df.select(column).where(F.col(column).isNotNull()).distinct()
+                    .repartitionByRange(column).sortWithinPartitions(column)
+                    .select(column, F.spark_partition_id().alias("_part"),
+                            F.monotonically_increasing_id().alias("_at")), "distinct-values")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).select(
+        "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    codes = placed.join(F.broadcast(spans), "_part").select(
+        column, (F.col("_at") + F.col("_shift")).cast("int").alias(out))
+    return df.join(sized_broadcast(codes, MAX_CATEGORIES), column, "left")
 
 
 # ---- scaling -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from respondo.functions.scalar import safe_div
 from respondo.operators.prefix import running_sums
+from respondo.session import staged
 
 
 def confusion(df: DataFrame, label: str = "y", pred: str = "pred",
@@ -76,6 +77,18 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "y",
         F.count_if(F.col(label) != 1).alias("neg"))
 
 
+#: Distinct scores in each range of a running sum.
+RANGE_ROWS = 100_000
+
+
+def staged_counts(df: DataFrame, score: str, label: str, by: list[str]) -> tuple[DataFrame, int]:
+    """The counts per distinct score, written once (range cuts, offsets,
+    running sums and totals read them), and the number of ranges, which
+    follows their number."""
+    counts = staged(score_counts(df, score, label, by), "score-counts")
+    return counts, max(1, -(-counts.count() // RANGE_ROWS))
+
+
 def roc_points(df: DataFrame, score: str = "score", label: str = "y",
                by: list[str] | None = None) -> DataFrame:
     """One ROC point per distinct score: TPR and FPR of ``score >= s``.
@@ -86,8 +99,8 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "y",
     keep = list(by or [])
     by = keep or ["_all"]
     src = df if keep else df.withColumn("_all", F.lit(0))
-    counts = score_counts(src, score, label, by)
-    cum = running_sums(counts, score, ["pos", "neg"], by)
+    counts, ranges = staged_counts(src, score, label, by)
+    cum = running_sums(counts, score, ["pos", "neg"], by, ranges)
     # one row per group (model names): a bounded broadcast
     tot = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(F.broadcast(tot), by)
@@ -105,19 +118,13 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "y",
     ``pos(s) * (2 * neg_below(s) + neg(s))``, summed as integers, over
     ``2 * P * N``."""
     by = list(by or [])
-    # per distinct score counts feed three passes (range cuts, offsets,
-    # running sums): kept once instead of recomputed; the result is one row
-    # per group, so it is materialised and the cache released
-    counts = score_counts(df, score, label, by).persist()
-    cum = running_sums(counts, score, ["neg"], by)
+    counts, ranges = staged_counts(df, score, label, by)
+    cum = running_sums(counts, score, ["neg"], by, ranges)
     neg_below = F.col("neg_cum") - F.col("neg")
     # as DOUBLE: exact while the sums stay below 2**53, and no BIGINT
     # overflow (ANSI error) on very large inputs
     num = F.col("pos").cast("double") * (2 * neg_below + F.col("neg")).cast("double")
     agg = cum.groupBy(*by).agg(F.sum(num).alias("num"), F.sum("pos").alias("P"),
                                F.sum("neg").alias("N"))
-    out = agg.select(*by, F.round(safe_div(F.col("num"), F.col("P").cast("double") * F.col("N") * 2.0, None), 9)
-                     .alias("roc_auc"))
-    rows = out.collect()
-    counts.unpersist()
-    return df.sparkSession.createDataFrame(rows, out.schema)
+    return agg.select(*by, F.round(safe_div(F.col("num"), F.col("P").cast("double") * F.col("N") * 2.0, None), 9)
+                      .alias("roc_auc"))

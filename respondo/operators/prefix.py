@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 
 def range_ids(df: DataFrame, order_col: str, ranges: int, out: str = "_range") -> DataFrame:
+    if ranges < 2:
+        return df.withColumn(out, F.lit(0))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000)).first()[0]
     splits = [float("-inf")] + sorted(set(float(c) for c in (cuts or []))) + [float("inf")]
