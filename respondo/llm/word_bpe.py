@@ -49,8 +49,12 @@ def encode_words(words: list[str], state: dict) -> list[bytes]:
 def word_ids(words: list[str], state: dict) -> list[bytes]:
     """Ids of each word as little-endian unsigned 32-bit integers."""
     cache = tokenizer(state)[1]
-    out = list(map(cache.get, words))
-    missing = [i for i, x in enumerate(out) if x is None]
+    out = list(map(cache.new.get, words))
+    missing = []
+    for i in [i for i, x in enumerate(out) if x is None]:
+        out[i] = cache.get(words[i])  # may be in the older generation
+        if out[i] is None:
+            missing.append(i)
     for k in range(0, len(missing), 1000):
         part = missing[k:k + 1000]
         for i, ids in zip(part, encode_words([words[i] for i in part], state)):
