@@ -155,15 +155,23 @@ def dealt(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
 
 
-ASKED = "range int, kind int, block long, pair binary, h binary, n binary"
+ASKED = "range int, kind int, block long, pair binary, h binary, runs binary, n binary"
 ANSWERED = "kind int, block long, range int, data binary, key long, pairs long, occur long"
 SEEN, BEGUN, RARE = 0, 1, 2  # kinds of rows: a slice's pairs, what a word begins, a slice's rare word
 
 
+def in_runs(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """``h`` as the values and lengths of its runs, and ``n``."""
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    runs = np.diff(np.append(start, len(h))).astype(np.int32)
+    return h[start].tobytes(), runs.tobytes(), (n.astype(np.uint8) if n.max() < 256 else n).tobytes()
+
+
 def asking_kernel(head: Broadcast, ranges: int):
     """Each slice's distinct pairs, one row per hash range, with their
-    counts in training texts; and the slice's words beyond the head. A
-    slice is named by its first row."""
+    counts in training texts (a byte each where they fit); and the slice's
+    words beyond the head. What a pair begins with (``h``) is in runs, as
+    pairs come in its order. A slice is named by its first row."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value["keys"]
         for batch in batches:
@@ -182,10 +190,10 @@ def asking_kernel(head: Broadcast, ranges: int):
                     for r in np.flatnonzero(np.diff(start)):
                         at = order[start[r]:start[r + 1]]
                         out.append((int(r), kind, block, what[at].tobytes(),
-                                    *((h[at].tobytes(), n[at].tobytes()) if kind == SEEN else (b"", b""))))
+                                    *(in_runs(h[at], n[at]) if kind == SEEN else (b"", b"", b""))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3))],
-                    ["range", "kind", "block", "pair", "h", "n"])
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4))],
+                    ["range", "kind", "block", "pair", "h", "runs", "n"])
     return kernel
 
 
@@ -198,9 +206,12 @@ def answering_kernel(least: int):
         many = lambda t, c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
         size = pc.binary_length(ask["pair"]).to_numpy().astype(np.int64) // 8
         key, place, inverse = np.unique(many(ask, "pair", np.int64), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=many(ask, "n", np.int32), minlength=len(key)).astype(np.int64)
+        counts = [np.frombuffer(x, np.uint8 if len(x) == k else np.int32) for x, k in zip(ask["n"].to_pylist(), size)]
+        n = np.bincount(inverse, weights=np.concatenate([np.zeros(0, np.int32), *counts]),
+                        minlength=len(key)).astype(np.int64)
         kept = n >= least
-        h, of = np.unique(many(ask, "h", np.int64)[place][kept], return_inverse=True)
+        begun = np.cumsum(many(ask, "runs", np.int32), dtype=np.int64)
+        h, of = np.unique(many(ask, "h", np.int64)[np.searchsorted(begun, place[kept], "right")], return_inverse=True)
         bits = filter_size(int(level(n[kept]).sum()))
         words = np.zeros(bits // 64, np.uint64)
         bit, value = filter_bits(key[kept], np.full(int(kept.sum()), PAIR), n[kept], bits)
@@ -267,7 +278,9 @@ def text_kernel():
     """Each slice as one row: its texts' columns, where they begin, codes and keys."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, first, codes, keys, pair, inverse in coded(batch):
+            for rows in slices(batch, "text", SLICE_BYTES // 2):  # those of ``coded``
+                codes, first, keys = tokens(text_array(rows.column("text")))
+                keys = np.append(keys, BEGIN)
                 one = [0, rows.num_rows]
                 whole = lambda c: pa.ListArray.from_arrays(
                     pa.array(one, pa.int32()), rows.column(c).take(pa.array(np.arange(rows.num_rows))))
