@@ -274,6 +274,11 @@ def bloom_filter(entries: DataFrame) -> tuple[np.ndarray, int]:
     return words, bits
 
 
+def code_type(keys: np.ndarray):
+    """The shortest type that holds the codes of these keys."""
+    return np.uint16 if len(keys) <= 1 << 16 else np.int32
+
+
 def text_kernel():
     """Each slice as one row: its texts' columns, where they begin, codes and keys."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +291,7 @@ def text_kernel():
                     pa.array(one, pa.int32()), rows.column(c).take(pa.array(np.arange(rows.num_rows))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rows.column("row")[0].as_py()]), whole("id"), whole("held_out"),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in (first, codes.astype(np.int32), keys)]],
+                     *[pa.array([x.tobytes()], pa.binary()) for x in (first, codes.astype(code_type(keys)), keys)]],
                     ["block", "id", "held_out", "first", "codes", "keys"])
     return kernel
 
@@ -301,9 +306,8 @@ def score_kernel(model: Broadcast, ranges: int):
             h = np.append(known, BEGIN)
             m["begins"] = count_at(probe(words, bits, h, PAIRS)), count_at(probe(words, bits, h, OCCUR))
             m["total"] = np.append(count, m["texts"]).astype(np.float64)
-        first, codes, keys = (np.frombuffer(slice_[c][0].as_py(), d) for c, d in (
-            ("first", np.int64), ("codes", np.int32), ("keys", np.int64)))
-        codes = codes.astype(np.int64)
+        first, keys = (np.frombuffer(slice_[c][0].as_py(), np.int64) for c in ("first", "keys"))
+        codes = np.frombuffer(slice_["codes"][0].as_py(), code_type(keys)).astype(np.int64)
         pair, inverse = np.unique(neighbours(codes, first, len(keys) - 1) * len(keys) + codes,
                                   return_inverse=True)
         h, w = pair // len(keys), pair % len(keys)
