@@ -26,10 +26,11 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from respondo.llm.common import gather, slices, stage, text_array
+from respondo.llm.common import SLICE_BYTES, gather, slices, stage, text_array
 from respondo.llm.word_bpe import token_ids
 
 #: Text bytes encoded at once: the larger, the fewer words are looked up twice.
+#: Where the ids are returned, they are held too, and slices are smaller.
 PACKED_BYTES = 12 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,7 +47,7 @@ def cut_pieces(docs: DataFrame, vocabulary: Broadcast, capacity: int = 2048,
         part = TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch, "text", PACKED_BYTES):
+            for rows in slices(batch, "text", SLICE_BYTES if with_ids else PACKED_BYTES):
                 ids, first = token_ids(text_array(rows.column("text")), vocabulary.value)
                 n = np.diff(first)
                 # the separator goes behind each text's last id
