@@ -266,3 +266,31 @@ def test_smote_of_a_lone_minority_row(spark):
                                "k long, a double, b double, label int")
     out = smote(df, ["k"], ["a", "b"], "label").where("label = 1").collect()
     assert len(out) == 10 and {(r["a"], r["b"]) for r in out} == {(1.0, 2.0)}
+
+
+def test_knn_with_a_crowd_of_copies_and_few_values(spark):
+    from respondo.operators.resample import exact_knn, median_cells
+    rng = random.Random(4)
+    pts = [(i, [1.0, 2.0, 0.0] if i % 3 == 0 else
+            [float(rng.randrange(4)), round(rng.uniform(0, 9), 2), float(rng.randrange(2))]) for i in range(900)]
+    df = spark.createDataFrame(pts, "mid long, x array<double>").checkpoint()
+    cells = median_cells(df.select("x").distinct(), 40).groupBy("cell").count().collect()
+    assert max(r["count"] for r in cells) <= 40 and len(cells) > 10
+    knn, _ = exact_knn(df, 3, k=5, cell_rows=40)
+    got = {}
+    for r in knn.orderBy("mid", "rank").collect():
+        got.setdefault(r["mid"], []).append(r["nb"])
+    assert got == knn_pairs_brute(pts, 5)
+
+
+def test_smote_with_one_hot_point_makes_no_large_group(spark):
+    """Half of the minority is one point: its copies are one row of a cell."""
+    from respondo.operators.resample import smote
+    rng = random.Random(5)
+    rows = [(i, 0, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(40_000)]
+    rows += [(i, 1, 3.0, 4.0) if i % 2 else (i, 1, rng.gauss(3, 1), rng.gauss(4, 1)) for i in range(16_000)]
+    df = spark.createDataFrame(rows, "k long, y int, a double, b double")
+    out = smote(df, ["k"], ["a", "b"], "y", cell_rows=500)
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 40_000, 1: 40_000}
+    # rows on the hot point draw that point again
+    assert out.where("synthetic and a = 3.0 and b = 4.0").count() >= 10_000
