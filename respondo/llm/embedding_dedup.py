@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from respondo.llm.common import numbered, stage
 from respondo.llm.components import components, named
@@ -58,6 +59,8 @@ BEAM, BEYOND = 12, 0.08           # width of the walk; how far below the range i
 
 def unit_vectors(column: pa.Array, dimension: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+    # by a power of two, which rounds nothing, so that no square overflows or vanishes
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -89,7 +92,7 @@ def assigned(vectors: DataFrame, fitted: Broadcast, dimension: int, visits: int)
                                              pa.array(near.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "near"])
 
-    return vectors.mapInArrow(kernel, "node long, copies long, vec array<float>, near array<int>")
+    return vectors.mapInArrow(kernel, f"node long, copies long, vec {vectors.schema['vec'].dataType.simpleString()}, near array<int>")
 
 
 def pruned(x: np.ndarray) -> np.ndarray:
@@ -409,9 +412,12 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
                     vector_col: str = "embedding", visits: int = 3,
                     least_recall: float = 0.95) -> DataFrame:
     """One row per vector: ``row``, ``vec_id``, ``n_links``, ``component_id``,
-    ``kept``, ``first``."""
+    ``kept``, ``first``. Single-precision columns stay so, all others are
+    read as doubles; cosines are computed in doubles either way."""
+    element = getattr(table.schema[vector_col].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(element, FloatType) else "array<double>"
     rows, _ = numbered(table.select(F.col(id_col).cast("long").alias("id"),
-                                    F.col(vector_col).cast("array<float>").alias("vec")), "row")
+                                    F.col(vector_col).cast(kind).alias("vec")), "row")
     rows = stage(rows, "vectors")
     fine = (F.size("vec") > 0) & F.forall(
         "vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(

@@ -269,3 +269,14 @@ def test_pipeline(spark, tmp_path, edge_docs):
     for name, step in corpus_pipeline.STAGES:
         empty = stage(step(spark, empty, ""), "none")
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("unit", [1500, 2])
+def test_embeddings_in_doubles(spark, monkeypatch, unit):
+    """Very short and very long vectors link; a cosine is not rounded to singles first."""
+    monkeypatch.setattr(embedding_dedup, "UNIT", unit)
+    rows = [(0, [1.0, 0.0]), (1, [1e-300, 0.0]), (2, [1e300, 0.0]), (3, [0.0, 5e-324]), (4, [0.0, 1.0]),
+            (5, [0.0, float("inf")]), (6, [-1e300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {q.vec_id: (q.n_links, q.component_id) for q in embedding_dedup.near_duplicates(df).collect()}
+    assert out == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}

@@ -6,12 +6,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from respondo.llm import byte_bpe, lm_scores, packing, quality, queries, sharding, token_counts
@@ -186,6 +188,41 @@ def test_shards(spark, docs, no_docs, clash, edge_docs, tmp_path):
     assert sharding.shard(no_docs, 3).count() == 0
 
 
+def scalar_feistel(at, n, seed):
+    """The same network on one number, by the standard 64-bit hash."""
+    a, b = sharding.domain(n)
+
+    def value(part, k):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", part), 42)
+        return xxhash.xxh64_intdigest(struct.pack("<i", seed * 1000 + k), h)
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+    while True:
+        left, right = divmod(at, b)
+        for k in range(sharding.ROUNDS):
+            left = (left + signed(value(right, 2 * k)) % a) % a
+            right = (right + signed(value(left, 2 * k + 1)) % b) % b
+        at = left * b + right
+        if at < n:
+            return at
+
+
+def test_shards_follow_a_scalar_walk(spark):
+    for n, shards in ((1, 4), (41, 40), (1003, 40), (2500, 7)):
+        out = sharding.shard(spark.range(n), shards, seed=3).collect()
+        assert {r["row_number"] for r in out} == set(range(n))
+        for r in out:
+            at = scalar_feistel(r["row_number"], n, 3)
+            assert (r["shard"], r["slot"]) == (at % shards, at // shards)
+        slots = collections.defaultdict(list)
+        for r in out:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        counts = [len(slots[s]) for s in range(shards)]
+        assert max(counts) - min(counts) <= 1
+
+
 def test_feistel_permutes_and_inverts(spark):
     for n in (1, 2, 17, 1000, 5003):
         rows = sharding.shuffled(spark.range(n).withColumn("at", F.col("id")), "at", n, seed=5)
