@@ -13,7 +13,6 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from respondo.catalog import decisions, profiling  # noqa: F401  (their queries are used below)
@@ -109,14 +108,19 @@ def q_scan_with_fallback(spark, sf):
 
 
 def _sealed(store: StageStore, name: str, df):
-    """Write a stage table and read it back: (stage, rows, whether count and
-    value hashes are those that were written)."""
-    total = [F.count(F.lit(1)).alias("rows"),
-             F.sum(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 40))).alias("check")]
-    seen = Observation(name)
-    store.write(name, df.observe(seen, *total))
-    written, back = seen.get, store.read(name).agg(*total).first()
-    return name, back["rows"], (back["rows"], back["check"]) == (written["rows"], written["check"])
+    """Write a stage table and read it back: (stage, rows, whether every row
+    read gives the hash it was written with, its column ``_seal``). A seal
+    and not an observed metric: once a session has observed one, the fitted
+    models of ``pyspark.ml`` that hold a training summary, and so the
+    session, cannot be sent to tasks any more."""
+    def seal(columns):
+        return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+
+    store.write(name, df.withColumn("_seal", seal(df.columns)))
+    back = store.read(name).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("_seal").eqNullSafe(seal(df.columns))).alias("changed")).first()
+    return name, back["rows"], back["changed"] == 0
 
 
 STAGE_CATEGORIES = ["job", "education", "contact", "poutcome", "marital"]

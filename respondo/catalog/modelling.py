@@ -255,6 +255,10 @@ def q_permutation_importance(spark, sf):
     hash, the same at every size: a window per hash range takes the next
     row's values, and the last row of a range takes those of the next range's
     first row. Only the number of ranges follows the row count.
+
+    The shifted rows are read and scored in one pass: each becomes one
+    variant per feature (and one unchanged) inside its task, and only the
+    counts of each variant are shuffled.
     """
     from respondo.operators import splits
     prep = _prepared(spark, sf, k_best=None)
@@ -276,18 +280,14 @@ def q_permutation_importance(spark, sf):
     moved = F.lead(values).over(Window.partitionBy("_b").orderBy(*order))
     shifted = staged(test.withColumn("_moved", moved).join(F.broadcast(after), "_b")
                      .withColumn("_moved", F.coalesce("_moved", "_after")).drop("_after"), "shifted")
-    base = models.evaluate(models.scored(model, shifted, KEY), "baseline", with_auc=False) \
-        .select(F.col("f1").alias("f1_base"))
-    results = None
-    for f in names:
-        one = shifted.withColumn(f, F.col(f"_moved.`{f}`")).drop(models.FEATURES)
-        fr = VectorAssembler(inputCols=names, outputCol=models.FEATURES).transform(one)
-        m = models.evaluate(models.scored(model, fr, KEY), f, with_auc=False) \
-            .select(F.col("model_name").alias("feature"), "f1")
-        results = m if results is None else results.unionByName(m)
+    # one row per variant
+    counts = staged(models.permuted_counts(model, shifted, names), "variant-counts")
+    f1 = metrics.with_binary_metrics(counts).select("variant", "f1")
+    base = f1.where(F.col("variant") == -1).select(F.col("f1").alias("f1_base"), F.lit(0).alias("_k"))
+    feature = F.element_at(F.array(*map(F.lit, names)), F.col("variant") + 1)
     # ``base`` is a single row: joined on a constant key
-    return results.withColumn("_k", F.lit(0)).join(base.withColumn("_k", F.lit(0)), "_k") \
-        .select("feature", "f1", (F.col("f1_base") - F.col("f1")).alias("f1_drop"))
+    return f1.where(F.col("variant") >= 0).withColumn("_k", F.lit(0)).join(base, "_k") \
+        .select(feature.alias("feature"), "f1", (F.col("f1_base") - F.col("f1")).alias("f1_drop"))
 
 
 def components(prep):

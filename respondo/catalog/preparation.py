@@ -386,15 +386,12 @@ def _kbest_sql() -> str:
 
 def _kbest_scores(spark, sf):
     df = contacts(spark, sf, ["y", *SELECT_NUMERIC, *ONEHOT_COLS], key=False)
-    vocab = features.fit_categories(df, ONEHOT_COLS)
-    enc = df.select("y", *SELECT_NUMERIC, *features.one_hot(vocab))
-    feats = [c for c in enc.columns if c != "y"]
-    return features.anova_f(enc, feats), feats
+    return features.encoded_anova_f(df, SELECT_NUMERIC, ONEHOT_COLS)
 
 
 @register("select_k_best", with_contacts(_kbest_sql()))
 def q_select_k_best(spark, sf):
-    scores, _ = _kbest_scores(spark, sf)
+    scores = _kbest_scores(spark, sf)
     sel = features.select_k_best(scores, K_BEST)
     return sel.select("feature", F.col("position").cast("int"),
                       F.round("f_score", 6).alias("f_score"), F.col("rank").cast("int"),
@@ -406,7 +403,7 @@ def q_select_k_best(spark, sf):
     "(VALUES (5), (10), (15), (20)) AS s(k) WHERE rank <= k"))
 def q_nested_topk_by_f(spark, sf):
     """Nested top-5/10/15/20 feature sets, ranked once by ANOVA F."""
-    scores, _ = _kbest_scores(spark, sf)
+    scores = _kbest_scores(spark, sf)
     ranked = features.select_k_best(scores, K_BEST)
     sets = F.array(*[F.lit(k) for k in (5, 10, 15, 20)])
     return ranked.select("feature", F.col("rank").cast("int").alias("rank"),

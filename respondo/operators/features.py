@@ -12,17 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondo.functions.scalar import dbl
+from respondo.session import staged
 
 MAX_CATEGORIES = 10_000
 
 
 # ---- imputation -------------------------------------------------------------
 
-def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def fit_medians(df: DataFrame, columns: list[str], written: bool = False) -> dict[str, float | None]:
     """Exact median per column (interpolated, as ``median``), computed by
-    :func:`exact_percentiles` so no column is gathered in one task."""
+    :func:`exact_percentiles` so no column is gathered in one task.
+    ``written`` tells that ``df`` reads a stage table already."""
     from respondo.operators.quantiles import exact_percentiles
-    got = {r["feature"]: r["value"] for r in exact_percentiles(df, columns, [0.5]).collect()}
+    got = {r["feature"]: r["value"] for r in exact_percentiles(df, columns, [0.5], written=written).collect()}
     return {c: got.get(c) for c in columns}
 
 
@@ -139,6 +141,12 @@ def anova_f(df: DataFrame, features: list[str], target: str = "y") -> DataFrame:
     stack = ", ".join(f"'{f}', {i}, `{f}__m`, `{f}__v`" for i, f in enumerate(features))
     long = per_class.selectExpr(target, "n", f"stack({len(features)}, {stack}) "
                                 "AS (feature, position, mean, var)")
+    return f_scores(long)
+
+
+def f_scores(long: DataFrame) -> DataFrame:
+    """F of each feature from one row per class and feature: ``(n, feature,
+    position, mean, var)``."""
     w = Window.partitionBy("feature")
     # grand mean from class means (weighted), then between / within sums
     g = long.withColumn("gm", F.sum(F.col("mean") * F.col("n")).over(w) / F.sum("n").over(w))
@@ -151,6 +159,63 @@ def anova_f(df: DataFrame, features: list[str], target: str = "y") -> DataFrame:
     return stats.select("feature", "position", F.try_divide(between, within).alias("f_score"))
 
 
+def encoded_anova_f(df: DataFrame, numeric: list[str], categorical: list[str], target: str = "y",
+                    max_categories: int = MAX_CATEGORIES, sep: str = "_") -> DataFrame:
+    """:func:`anova_f` of the numeric columns and of the one-hot indicators
+    of the categorical ones (:func:`one_hot`, first category dropped) from a
+    single scan: moments per class of the numerics and counts per class of
+    every value come from one grouped pass, which also gives the vocabulary.
+    An indicator's moments follow from its counts.
+
+    NULL categories count in their class and have no indicator; a column
+    with fewer than two categories has none either; a column with more than
+    ``max_categories`` raises. An empty table gives no rows.
+    """
+    def entry(c: str, value: Column, x: Column) -> Column:
+        return F.struct(F.lit(c).alias("column"), value.cast("string").alias("value"),
+                        x.cast("double").alias("x"))
+
+    null = F.lit(None)
+    entries = [entry(c, null, F.col(c)) for c in numeric] + [entry(c, F.col(c), null) for c in categorical]
+    counts = staged(
+        df.select(F.struct(F.col(target)).alias("class"), F.explode(F.array(*entries)).alias("e"))
+        .select("class", "e.*").groupBy("class", "column", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var")),
+        "class-values")
+    place = {c: i for i, c in enumerate(numeric)}
+    moments = counts.where(F.col("column").isin(numeric)).select(
+        "n", F.col("column").alias("feature"), _looked_up(F.col("column"), place).alias("position"),
+        "mean", "var")
+    hits = counts.where(F.col("column").isin(categorical))
+    values = hits.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("n").alias("in_all"))
+    sizes = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}
+    big = [c for c, n in sizes.items() if n > max_categories]
+    if big:
+        raise ValueError(f"columns with more than {max_categories} categories: {big}")
+    before, start = len(numeric), {}
+    for c in categorical:
+        start[c] = before
+        before += max(0, sizes.get(c, 0) - 1)
+    # at most ``max_categories`` rows per window, as many again per class
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    named = values.withColumn("rank", rank).where(F.col("rank") > 1).select(
+        "column", "value", F.concat_ws(sep, "column", "value").alias("feature"),
+        (_looked_up(F.col("column"), start) + F.col("rank") - 2).alias("position"))
+    totals = hits.groupBy("class", "column").agg(F.sum("n").alias("n"))
+    found = hits.select("class", "column", "value", F.col("n").alias("k"))
+    # a class without the value has it zero times
+    p = F.coalesce(F.col("k"), F.lit(0)) / F.col("n")
+    indicators = named.join(totals, "column").join(found, ["class", "column", "value"], "left").select(
+        "n", "feature", "position", p.alias("mean"),
+        F.try_divide(F.col("n") * p * (1 - p), F.col("n") - 1).alias("var"))
+    return f_scores(moments.union(indicators))
+
+
+def _looked_up(name: Column, places: dict[str, int]) -> Column:
+    pairs = [F.lit(x) for item in places.items() for x in item]
+    return F.create_map(*pairs)[name] if pairs else F.lit(None).cast("int")
+
+
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """Top ``k`` features by F (ties: earlier position), reported in the
     original column order; the ranking runs over the small score table."""

@@ -48,7 +48,7 @@ def prepare(df: DataFrame, key: list[str], target: str, numeric: list[str],
     base = splits.stratified_folds(base, key, target, folds)
     base = staged(base.withColumn(LABEL, F.col(target).cast("double")), "model-input")
     train = base.where(F.col("split") == "train")
-    filled = {**features.fit_medians(train, numeric), **features.fit_modes(train, categorical)}
+    filled = {**features.fit_medians(train, numeric, written=True), **features.fit_modes(train, categorical)}
     base = features.impute(base, filled)
     train = base.where(F.col("split") == "train")
     vocab = features.fit_categories(train, categorical)
@@ -160,6 +160,19 @@ def evaluate(pred: DataFrame, name: str, split: str = "test", with_auc: bool = T
                     "f1", "roc_auc")
 
 
+def permuted_counts(model, shifted: DataFrame, names: list[str]) -> DataFrame:
+    """Confusion counts of ``model`` by ``variant``: -1 with all features
+    (``names``) as they are, i with the i-th taken from the struct ``_moved``.
+    One pass: each row becomes its variants inside its task, and only the
+    counts of each variant are shuffled."""
+    rows = shifted.withColumn("variant", F.explode(F.array(*map(F.lit, range(-1, len(names))))))
+    rows = rows.select(LABEL, "variant", *[
+        F.when(F.col("variant") == i, F.col(f"_moved.`{f}`")).otherwise(F.col(f"`{f}`")).alias(f)
+        for i, f in enumerate(names)])
+    scored_rows = model.transform(VectorAssembler(inputCols=names, outputCol=FEATURES).transform(rows))
+    return metrics.confusion(scored_rows, LABEL, "prediction", ["variant"])
+
+
 def f1_positive() -> MulticlassClassificationEvaluator:
     """Positive-class F1 (the reference's ``scoring='f1'``)."""
     return MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",

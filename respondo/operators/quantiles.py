@@ -20,8 +20,9 @@ narrowing down instead:
    partitioned per target; the (at most two) rows at the needed ranks come
    back and are interpolated.
 
-All passes read the input in its wide form (no row multiplication);
-brackets are literals in the plan, and only brackets, counts and the
+All passes read the input in its wide form (no row multiplication) from a
+stage table of the needed columns, so that a plan with joins runs once and
+nothing is held in executor memory; brackets are literals in the plan, and only brackets, counts and the
 picked values reach the driver.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from respondo.session import staged
+
 _STEPS = 256
 _REFINE = [i / _STEPS for i in range(_STEPS + 1)]
 INF = float("inf")
@@ -38,16 +41,18 @@ INF = float("inf")
 
 def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                       by: list[str] | None = None, accuracy: int = 10_000,
-                      max_band: int = 100_000, max_rounds: int = 6) -> DataFrame:
+                      max_band: int = 100_000, max_rounds: int = 6,
+                      written: bool = False) -> DataFrame:
     """``(by..., feature, p_idx, value)``: the exact percentile of each
     column (per group) for each probability in ``probs``; NULL and NaN are
-    left out."""
+    left out. ``written`` tells that ``df`` reads a stage table already."""
     by = list(by or [])
     spark = df.sparkSession
     cols = list(columns)
-    # read by every pass below; released before returning
+    # read by every pass below
     data = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-                             for c in cols]).persist()
+                             for c in cols])
+    data = data if written else staged(data, "quantile-input")
     by_fields = list(data.select(*by).schema.fields) if by else []
     margin = 2.0 / accuracy
     clamp = lambda v: min(1.0, max(0.0, v))
@@ -76,7 +81,6 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
                                          StructField("p_idx", IntegerType()),
                                          StructField("value", DoubleType())])
     if not targets:
-        data.unpersist()
         return spark.createDataFrame([], out_schema)
     groups = sorted({g for g, _, _ in targets}, key=repr)
 
@@ -199,7 +203,6 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float],
         if t["hp"] != t["lp"]:
             v = (t["hp"] - t["pos"]) * v + (t["pos"] - t["lp"]) * value_at(k, t, t["hp"], rb)
         result.append(tuple(list(g) + [c, i, v]))
-    data.unpersist()
     return spark.createDataFrame(result, out_schema)
 
 

@@ -187,6 +187,45 @@ def test_anova_f_matches_numpy(spark):
     assert f == pytest.approx((ssb / 1) / (ssw / (500 - 2)), rel=1e-9)
 
 
+def test_encoded_anova_f_equals_two_scans(spark):
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    rows = [(int(y), float(rnd.normal() + y), None if i % 11 == 0 else float(i % 5),
+             None if i % 13 == 0 else "abc"[i % 3] if y else "bd"[i % 2], "one")
+            for i, y in enumerate(rnd.integers(0, 3, 400))] + [(9, 1.0, None, "a", None)]
+    df = spark.createDataFrame(rows, "y int, u double, v double, c string, only string")
+    vocab = features.fit_categories(df, ["c", "only"])
+    encoded = df.select("y", "u", "v", *features.one_hot(vocab))
+    want = {r.feature: r for r in features.anova_f(encoded, encoded.columns[1:]).collect()}
+    got = {r.feature: r for r in features.encoded_anova_f(df, ["u", "v"], ["c", "only"]).collect()}
+    assert set(got) == set(want) == {"u", "v", "c_b", "c_c", "c_d"}
+    for name, r in want.items():
+        assert got[name].position == r.position
+        assert got[name].f_score == pytest.approx(r.f_score, rel=1e-9)
+    assert features.encoded_anova_f(df.limit(0), ["u"], ["c"]).count() == 0
+    with pytest.raises(ValueError):
+        features.encoded_anova_f(df, [], ["c"], max_categories=3)
+
+
+def test_permuted_counts_equal_single_runs(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from respondo.operators import metrics, models
+    df = spark.range(300).selectExpr(
+        "cast(id % 7 as double) as a", "cast(id % 5 as double) as b",
+        f"cast(id % 7 + id % 5 > 5 as double) as {models.LABEL}",
+        "named_struct('a', cast((id + 1) % 7 as double), 'b', cast((id + 1) % 5 as double)) as _moved")
+
+    def assembled(frame):
+        return VectorAssembler(inputCols=["a", "b"], outputCol=models.FEATURES).transform(frame)
+
+    model = models.tree(max_depth=4).fit(assembled(df))
+    got = {r.variant: tuple(r)[1:] for r in models.permuted_counts(model, df, ["a", "b"]).collect()}
+    for i, one in ((-1, df), (0, df.withColumn("a", F.col("_moved.a"))), (1, df.withColumn("b", F.col("_moved.b")))):
+        want = metrics.confusion(model.transform(assembled(one)), models.LABEL, "prediction").first()
+        assert got[i] == tuple(want)
+    assert got[0] != got[-1] != got[1]
+
+
 def test_one_hot_drop_first_and_unseen(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "job string")
     vocab = features.fit_categories(df, ["job"])

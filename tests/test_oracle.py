@@ -8,7 +8,7 @@ from respondo.catalog import ORACLE, QUERIES
 
 SLOW_ROWS_ONLY = {"feature_set_comparison", "stacking", "fit_boosted", "calibrate_sigmoid",
                   "random_search_cv", "grid_search_cv", "vote_soft_models", "vote_hard_models",
-                  "fit_gbt", "fit_forest", "permutation_importance", "smote"}
+                  "fit_gbt", "fit_forest", "smote"}
 
 
 @pytest.fixture(scope="module")
