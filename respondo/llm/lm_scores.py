@@ -150,11 +150,26 @@ def coded(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def dealt(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys, range by range, and where each range begins."""
-    part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(ranges)).astype(np.int64)
+    """Places of the keys, range by range, and where each range begins. The
+    range follows from all bits of a key, so that the low ones still tell
+    apart the keys of one range."""
+    part = (mix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
 
 
+KEY_BYTES = 6  # low bytes of a pair's key that travel: a range holds a few million pairs at most
+
+
+def short(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
+
+
 ASKED = "range int, kind int, block long, pair binary, h binary, runs binary, n binary"
 ANSWERED = "kind int, block long, range int, data binary, key long, pairs long, occur long"
 SEEN, BEGUN, RARE = 0, 1, 2  # kinds of rows: a slice's pairs, what a word begins, a slice's rare word
@@ -189,7 +204,7 @@ def asking_kernel(head: Broadcast, ranges: int):
                     order, start = dealt(what, ranges)
                     for r in np.flatnonzero(np.diff(start)):
                         at = order[start[r]:start[r + 1]]
-                        out.append((int(r), kind, block, what[at].tobytes(),
+                        out.append((int(r), kind, block, short(what[at]) if kind == SEEN else what[at].tobytes(),
                                     *(in_runs(h[at], n[at]) if kind == SEEN else (b"", b"", b""))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4))],
@@ -204,8 +219,8 @@ def answering_kernel(least: int):
         kind = part["kind"].to_numpy()
         ask, rare = part.filter(pa.array(kind == SEEN)), part.filter(pa.array(kind == RARE))
         many = lambda t, c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
-        size = pc.binary_length(ask["pair"]).to_numpy().astype(np.int64) // 8
-        key, place, inverse = np.unique(many(ask, "pair", np.int64), return_index=True, return_inverse=True)
+        size = pc.binary_length(ask["pair"]).to_numpy().astype(np.int64) // KEY_BYTES
+        key, place, inverse = np.unique(long(b"".join(ask["pair"].to_pylist())), return_index=True, return_inverse=True)
         counts = [np.frombuffer(x, np.uint8 if len(x) == k else np.int32) for x, k in zip(ask["n"].to_pylist(), size)]
         n = np.bincount(inverse, weights=np.concatenate([np.zeros(0, np.int32), *counts]),
                         minlength=len(key)).astype(np.int64)

@@ -282,3 +282,45 @@ def test_lm_keeps_rare_pairs_at_every_size(spark, monkeypatch):
     assert np.allclose(*scores, rtol=0.02)
     out = {r.doc_id: r for r in lm_scores.score(docs, F.col("doc_id") > 2, word_share=1e-3).collect()}
     assert out[3].score > -0.35 * 401  # pairs of joined words too
+
+
+def test_short_pair_keys():
+    keys = np.random.default_rng(5).integers(-2 ** 63, 2 ** 63 - 1, 200_000)
+    assert (lm_scores.long(lm_scores.short(keys)) == keys & (2 ** 48 - 1)).all()
+    assert len(lm_scores.long(lm_scores.short(keys[:0]))) == 0
+    for ranges in (1, 4, 1 << 16):  # powers of two: the low bytes must not depend on the range
+        order, start = lm_scores.dealt(keys, ranges)
+        assert sorted(order) == list(range(len(keys))) and start[-1] == len(keys)
+        assert np.diff(start).max() < 8 * (len(keys) / ranges + 3)
+        first = lm_scores.long(lm_scores.short(keys[order[:start[1]]]))
+        assert len(np.unique(first)) == len(first)
+
+
+def test_lm_scores_equal_a_plain_bigram_model(spark, docs):
+    """With counts on the filter's scale, a plain two-word model gives the
+    same scores, but for the few pairs that the filter takes for others."""
+    begin = ("begin",)
+    out = lm_scores.score(docs, F.lit(False)).collect()
+    texts = [WORD.findall((r.text or "").translate(LOWER)) + [None] for r in docs.collect()]
+    n = collections.Counter(t for x in texts for t in x)
+    pair = collections.Counter(p for x in texts for p in zip([begin] + x, x))
+    total, size = sum(n.values()), sum(n.values()) + len(n) + 1
+    begun, occur = collections.Counter(h for h, _ in pair), collections.Counter()
+    for (h, _), k in pair.items():
+        occur[h] += k
+    n[begin] = len(texts)
+    scaled = lambda k: float(lm_scores.count_at(lm_scores.level(np.array([k])))[0])
+
+    def plain(x):
+        s = 0.0
+        for h, w in zip([begin] + x, x):
+            pairs, rest = scaled(begun[h]), max(n[h] - scaled(occur[h]), 0)
+            p = (n[w] + 1) / size
+            share = (pairs + rest) / (n[h] + pairs) or 1e-9
+            s += math.log10(min(scaled(pair[h, w]) / (n[h] + pairs) + share * p, 1.0))
+        return s
+
+    want, got = sorted(map(plain, texts)), sorted(r.score for r in out)
+    assert len(want) == len(got) and {r.train_tokens for r in out} == {total}
+    off = np.abs(np.array(want) - np.array(got)) / np.maximum(1, np.abs(want))
+    assert off.max() < 0.05 and np.median(off) < 0.005
