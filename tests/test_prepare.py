@@ -117,3 +117,35 @@ def test_saved_models_and_preparation_score_raw_rows_alike(spark):
         assert (got.tp, got.fp, got.tn, got.fn) == (want.tp, want.fp, want.tn, want.fn)
         assert abs(got.roc_auc - want.roc_auc) < 1e-9
     assert all(r.pca_variance > 0 for r in out.values())
+
+
+def test_preparation_reads_one_table_without_shuffles(frame, monkeypatch):
+    written = []
+
+    def staged(df, name, write=models.staged):
+        written.append(name)
+        return write(df, name)
+    monkeypatch.setattr(models, "staged", staged)
+    prep = models.prepare(frame, KEY, "y", ["x"], ["c"], k_best=None)
+    assert written == ["model-input"]
+    plan = prep.rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_folds_of_some_rows_are_those_of_all(spark):
+    # keys that come twice or are null, classes that are null
+    rows = [(i * 7919 % 100_003 if i % 50 else None, i % 3 if i % 17 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, y int, v int")
+    every = {r["v"]: r["fold"] for r in splits.stratified_folds(df, KEY, "y", 5).collect()}
+    some = splits.folds_of(df, F.col("v") % 13 == 0, KEY, "y", 5).collect()
+    assert {r["v"]: r["fold"] for r in some} == {v: k for v, k in every.items() if v % 13 == 0}
+    few = {r["v"]: r["fold"] for r in splits.folds_of(df, F.col("v") < 40, KEY, "y", 5, bits=2).collect()}
+    assert few == {v: k for v, k in every.items() if v < 40}
+
+
+def test_modes_and_categories_from_one_count(frame, monkeypatch):
+    modes, vocab = features.fit_values(frame, ["c"])
+    assert modes == features.fit_modes(frame, ["c"])
+    assert vocab == features.fit_categories(features.impute(frame, modes), ["c"])
+    with pytest.raises(ValueError):
+        features.fit_values(frame, ["c"], max_categories=2)
