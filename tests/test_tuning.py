@@ -172,6 +172,29 @@ def test_base_models_learn(spark, prepared, true_auc):
         assert true_auc - .08 < got.roc_auc < true_auc + .04
 
 
+def test_scores_of_one_split_are_those_of_all_rows(spark, prepared):
+    s = tuning.sample(prepared, KEY, 400)
+    fits = tuning.all_fits(s, {n: tuning.BEST[n] for n in ("decision_tree", "svm")})
+    parts = tuning.calibrated(s, fits)
+    every = tuning.scored(prepared, s, KEY, fits, calibration=parts).where("split = 'test'").toPandas()
+    some = tuning.scored(prepared, s, KEY, fits, calibration=parts, split="test").toPandas()
+    assert len(some) == len(every) > 0 and set(some.split) == {"test"}
+    each = [f.sort_values(KEY).reset_index(drop=True) for f in (every, some)]
+    assert all(np.allclose(each[0][c], each[1][c]) for c in ("p_svm", "c_svm", "c_decision_tree"))
+
+
+def test_routes_step_by_step(toy):
+    data, w = toy
+    for depth in (0, 1, 9):
+        _, tree = learners.grow(data["b"], w * data["y"], w, depth)
+        feature, cut, left = tree
+        for i, at in enumerate(learners.route(data["b"], tree)):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + int(data["b"][i, feature[node]] > cut[node])
+            assert node == at
+
+
 def test_label_codes_of_many_values(spark):
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.format_string("v%06d", F.col("id") * 7919 % 20_011))
                                       .alias("v"))
