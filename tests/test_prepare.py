@@ -4,7 +4,7 @@ rows, fractional medians, rows without a prediction."""
 import pytest
 from pyspark.sql import functions as F
 
-from respondo.operators import features, metrics, models, quantiles, splits, thresholds
+from respondo.operators import features, metrics, models, quantiles, splits, thresholds, tuning
 from respondo.sources.delimited import read_delimited, split_single_column
 
 KEY = ["k"]
@@ -143,6 +143,17 @@ def test_folds_of_some_rows_are_those_of_all(spark):
     assert few == {v: k for v, k in every.items() if v < 40}
 
 
+def test_rows_without_key_count_in_folds_only(spark, frame):
+    df = frame.withColumn("k", F.when(F.col("k") % 16 != 5, F.col("k"))).withColumn("x", F.coalesce("x", F.lit(0.5)))
+    prep = models.prepare(df, KEY, "y", ["x"], ["c"], k_best=None)
+    want = {r["k"]: r["fold"] for r in splits.stratified_folds(df, KEY, "y", 5).collect()}
+    assert {r["k"]: r["fold"] for r in prep.frame.collect()} == want and None not in want
+    s = tuning.sample(prep, KEY, 1000)
+    train = [r["k"] for r in prep.rows.where("split = 'train'").collect()]
+    assert s.rows == prep.n_train == len(train)
+    assert sorted(s.told.value["fold"].tolist()) == sorted(want[k] for k in train)
+
+
 def test_modes_and_categories_from_one_count(frame, monkeypatch):
     modes, vocab = features.fit_values(frame, ["c"])
     assert modes == features.fit_modes(frame, ["c"])
