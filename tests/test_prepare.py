@@ -160,3 +160,21 @@ def test_modes_and_categories_from_one_count(frame, monkeypatch):
     assert vocab == features.fit_categories(features.impute(frame, modes), ["c"])
     with pytest.raises(ValueError):
         features.fit_values(frame, ["c"], max_categories=2)
+
+
+def test_components_take_one_fit(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from respondo.catalog import modelling
+    prep = modelling._prepared(spark, SF_SMALL, k_best=None)
+    want = modelling.fewest_components(prep)
+    fits = []
+
+    class Counted(modelling.PCA):
+        def fit(self, *args, **kw):
+            fits.append(self.getK())
+            return super().fit(*args, **kw)
+    monkeypatch.setattr(modelling, "PCA", Counted)
+    rows = modelling.q_pca_95(spark, SF_SMALL).orderBy("component").collect()
+    assert fits == [len(prep.feature_names)] and len(rows) == want.getK() < len(prep.feature_names)
+    for row, loadings in zip(rows, want.pc.toArray().T):
+        assert [row.loadings[n] for n in prep.feature_names] == pytest.approx(loadings.tolist(), abs=1e-9)
