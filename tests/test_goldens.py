@@ -333,3 +333,37 @@ def test_smote_with_one_hot_point_makes_no_large_group(spark):
     assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 40_000, 1: 40_000}
     # rows on the hot point draw that point again
     assert out.where("synthetic and a = 3.0 and b = 4.0").count() >= 10_000
+
+
+def test_visits_to_other_cells_travel_as_one_row_for_each_pair_of_cells(spark, monkeypatch):
+    from respondo.operators import resample
+    rng = random.Random(6)
+    pts = [(i, [rng.random() for _ in range(4)]) for i in range(1500)]
+    df = spark.createDataFrame(pts, "mid long, x array<double>").checkpoint()
+    written, staged = {}, resample.staged
+
+    def noted(frame, name):
+        written[name] = staged(frame, name)
+        return written[name]
+    monkeypatch.setattr(resample, "staged", noted)
+    knn, _ = resample.exact_knn(df, 4, k=5, cell_rows=300)
+    got = {}
+    for r in knn.orderBy("mid", "rank").collect():
+        got.setdefault(r["mid"], []).append(r["nb"])
+    assert got == knn_pairs_brute(pts, 5)
+    cells = written["boxes"].count()
+    assert 4 < cells and written["visits"].count() <= cells * (cells - 1)
+
+
+def test_nearest_rows_of_far_shifted_features_are_exact():
+    import numpy as np
+    from respondo.operators.resample import _search_kernel
+    rng = np.random.default_rng(3)
+    # large values with small differences, where a product of matrices rounds
+    x = np.column_stack([1e6 + rng.normal(size=700), 1e-3 * rng.normal(size=700), rng.integers(0, 2, 700)])
+    ids = rng.permutation(700)
+    row, nb, d = _search_kernel(5, 40)(x, np.full(700, np.inf), x, ids, True)
+    got = list(zip(row.tolist(), nb.tolist()))
+    pts = dict(zip(ids.tolist(), x.tolist()))
+    brute = knn_pairs_brute(sorted(pts.items()), 5)
+    assert got == [(i, n) for i, own in enumerate(ids.tolist()) for n in brute[own]]
