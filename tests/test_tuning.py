@@ -216,3 +216,43 @@ def test_running_sums_over_many_ranges(spark, monkeypatch):
     for g in one:
         pos, neg = (np.array([s for s, y, k in rows if k == g and y == v]) for v in (1, 0))
         assert np.isclose(one[g], (pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)
+
+
+def test_auc_from_many_blocks_and_ranges(spark, monkeypatch):
+    """Ties across blocks, missing and endless scores, rows without a label, groups of
+    which one lies in a small part of the scores: blocks and ranges change nothing."""
+    r = np.random.default_rng(4)
+    rows = [(None if r.random() < .05 else float(np.round(r.random() * (.01 if g == "b" else 1), 4)),
+             None if r.random() < .05 else int(r.random() < .3), g) for g in ("a", "b", None) for _ in range(1500)]
+    rows += [(v, y, "a") for v in (float("inf"), float("-inf"), float("nan"), -0.0) for y in (0, 1, 0)]
+    df = spark.createDataFrame(rows, "score double, y int, g string").repartition(3)
+    one = {x.g: x.roc_auc for x in metrics.roc_auc(df, by=["g"]).collect()}
+    for g in one:
+        # without a score: below all others; not a number: above
+        place = [(-1e30 if s is None else 1e30 if s != s else max(min(s, 1e20), -1e20), y)
+                 for s, y, k in rows if k == g]
+        pos, neg = (np.array([s for s, y in place if y == v]) for v in (1, 0))
+        assert one[g] == round((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2, 9)
+    blocks = metrics._score_blocks(df, ["score"], "y", ["g"])
+    assert blocks.count() < 40  # arrays of scores travel, not a row for each of them
+    monkeypatch.setattr(metrics, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(metrics, "MERGED_ROWS", 300)
+    many = metrics._score_blocks(df, ["score"], "y", ["g"])
+    assert metrics._range_sums(many, ["g"]).select("range").distinct().count() > 8
+    assert {x.g: x.roc_auc for x in metrics.roc_auc(df, by=["g"]).collect()} == one
+
+
+def test_metrics_of_several_score_columns_equal_those_of_long_rows(spark):
+    r = np.random.default_rng(5)
+    rows = [(float(r.random()), None if r.random() < .1 else float(r.random()), int(r.random() < .4))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "p_a double, p_b double, y int")
+    long = df.select("y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("score"))
+                                              for m in "ab"])).alias("s")).select("y", "s.*")
+    pred = long.withColumn("pred", (F.col("score") >= .5).cast("int"))
+    names = {"a": "p_a", "b": "p_b"}
+    assert sorted(metrics.confusion_wide(df, names, .5).collect()) == \
+        sorted(metrics.confusion(pred, by=["model"]).collect())
+    assert sorted(metrics.roc_auc_wide(df, names).collect()) == sorted(metrics.roc_auc(long, by=["model"]).collect())
+    assert not metrics.confusion_wide(df.limit(0), names, .5).collect()
+    assert not metrics.roc_auc_wide(df.limit(0), names).collect()
