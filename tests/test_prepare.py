@@ -178,3 +178,11 @@ def test_components_take_one_fit(spark, monkeypatch):
     assert fits == [len(prep.feature_names)] and len(rows) == want.getK() < len(prep.feature_names)
     for row, loadings in zip(rows, want.pc.toArray().T):
         assert [row.loadings[n] for n in prep.feature_names] == pytest.approx(loadings.tolist(), abs=1e-9)
+
+
+def test_report_reads_each_join_from_one_written_input(spark):
+    """No section joins orders again: they read the two tables written for them."""
+    from conftest import SF_SMALL
+    from respondo.catalog import QUERIES
+    plan = QUERIES["report_tables"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "c_custkey" not in plan
