@@ -186,3 +186,65 @@ def test_report_reads_each_join_from_one_written_input(spark):
     from respondo.catalog import QUERIES
     plan = QUERIES["report_tables"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan and "c_custkey" not in plan
+
+
+def test_preparation_of_many_rows_starts_from_few(spark, monkeypatch):
+    """Rows written apart, where there are many, change no number, no fold and no sampled row; the
+    fits of the classes are those of the plain operators. Keys come twice or are null."""
+    rows = [(i // 2 if i % 31 else None, None if i % 41 == 0 else int(i * 37 % 100 < 30 + i % 7 * 5),
+             None if i % 13 == 0 else i * 7919 % 1009 / 8 + (i % 7 > 4) * 30, float(i % 7), 0.1,
+             None if i % 11 == 0 else "abc"[i * i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, y int, x double, u double, same double, c string")
+    numeric = ["x", "u", "same"]
+    one = models.prepare(df, KEY, "y", numeric, ["c"], k_best=3)
+    whole = tuning.sample(one, KEY, 150).told.value
+    sketched = []
+    sketch = F.percentile_approx
+    monkeypatch.setattr(models, "LOW_ROWS", 800)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: sketched.append(a[0]) or sketch(*a))
+    monkeypatch.setattr(quantiles, "staged", None)
+    prep = models.prepare(df, KEY, "y", numeric, ["c"], k_best=3)
+    assert sketched == numeric and 0 < prep.low.count() < prep.n_train / 2  # one sketch, of the few rows
+    assert (prep.n_train, prep.feature_names) == (one.n_train, one.feature_names)
+    assert prep.params["impute"] == one.params["impute"]
+    few = tuning.sample(prep, KEY, 150).told.value
+    for name in ("y", "x"):
+        assert few[name] == pytest.approx(whole[name], nan_ok=True)
+    train = prep.raw.where("split = 'train' and k is not null")
+    filled = features.impute(train, prep.params["impute"])
+    want = features.fit_standard(filled, numeric)
+    assert want["same"][1] == 0.0 == prep.params["standard"]["same"][1]
+    assert all(prep.params["standard"][c] == pytest.approx(want[c]) for c in numeric)
+    enc = filled.select(models.LABEL, *features.standardize(want), *features.one_hot(prep.params["categories"]))
+    scores = {r.feature: r.f_score for r in features.anova_f(enc, enc.columns[1:], models.LABEL).collect()}
+    _, vocab, counts = features.fit_class_values(train, ["c"], models.LABEL)
+    moments = features.class_moments(filled, numeric, models.LABEL)
+    got = {r.feature: r.f_score for r in features.anova_of_classes(spark, moments, want, vocab, counts).collect()}
+    assert got.keys() == scores.keys() and all(got[f] == pytest.approx(scores[f]) for f in got)
+    weights = {r[models.LABEL]: r["balanced_weight"] for r in features.class_weights(train, models.LABEL).collect()}
+    for r in prep.rows.select(models.LABEL, "w").distinct().collect():
+        assert r["w"] == (1.0 if r[models.LABEL] is None else weights[r[models.LABEL]])
+
+
+def test_percentiles_from_misleading_rows_are_exact(spark):
+    df = spark.createDataFrame([(float(i * 7919 % 5003), None if i % 9 else float(i), 3.0, None) for i in range(5003)],
+                               "a double, b double, c double, d double")
+    cols = ["a", "b", "c", "d"]
+    want = {(r["feature"], r["p_idx"]): r["value"] for r in quantiles.exact_percentiles(df, cols, [0.3, 0.5]).collect()}
+    assert want["a", 1] == 2501.0
+    for some in (df.where("a < 50"), df.where("a < 0"), df.where("a % 3 = 0")):
+        for band in (40, 100_000):
+            got = quantiles.exact_percentiles(df, cols, [0.3, 0.5], max_band=band, some=some).collect()
+            assert {(r["feature"], r["p_idx"]): r["value"] for r in got} == want
+
+
+def test_folds_from_known_counts_and_few_rows(spark):
+    rows = [(i * 7919 % 100_003 if i % 50 else None, i % 3 if i % 17 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, y int, v int")
+    every = {r["v"]: r["fold"] for r in splits.stratified_folds(df, KEY, "y", 5).collect()}
+    counts = splits.bucket_counts(df, KEY, "y")
+    for some in (None, df.where("v % 13 < 4")):
+        out = splits.folds_of(df, F.col("v") % 13 == 0, KEY, "y", 5, counts=counts, some=some).collect()
+        assert {r["v"]: r["fold"] for r in out} == {v: k for v, k in every.items() if v % 13 == 0}
+    split = {r["v"]: r["split"] for r in splits.stratified_split(df, KEY, "y").collect()}
+    assert {r["v"]: r["split"] for r in splits.stratified_split(df, KEY, "y", counts=counts).collect()} == split
