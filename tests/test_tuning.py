@@ -256,3 +256,19 @@ def test_metrics_of_several_score_columns_equal_those_of_long_rows(spark):
     assert sorted(metrics.roc_auc_wide(df, names).collect()) == sorted(metrics.roc_auc(long, by=["model"]).collect())
     assert not metrics.confusion_wide(df.limit(0), names, .5).collect()
     assert not metrics.roc_auc_wide(df.limit(0), names).collect()
+
+
+def test_rows_without_a_score_count_alike_at_every_size(spark):
+    """Below all others, in P and in N, on either side of 100,000 distinct scores."""
+    for n in (900, 150_000):
+        y = F.when(F.col("id") % 3 == 0, 1).otherwise(0)
+        df = spark.range(n).select(F.when(F.col("id") % 4 > 0, (F.col("id") * 7919 % n).cast("double")).alias("score"),
+                                   y.alias("y"))
+        i = np.arange(n)
+        score, pos = np.where(i % 4 > 0, i * 7919 % n, -1.0), i % 3 == 0
+        order = np.argsort(score, kind="stable")
+        _, at, size = np.unique(score[order], return_index=True, return_counts=True)
+        rank = np.empty(n)
+        rank[order] = np.repeat(at + (size + 1) / 2, size)
+        want = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (n - pos.sum()))
+        assert metrics.roc_auc_wide(df, {"a": "score"}).first().roc_auc == round(want, 9)
