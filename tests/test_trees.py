@@ -52,6 +52,18 @@ def test_late_margins_change_nothing(train, data, monkeypatch):
     assert trees.boosted(data, 7, 3, 0.1, subsample=0.8, balanced=True)["trees"] == one["trees"]
 
 
+def test_plans_do_not_grow_with_the_rounds(data, monkeypatch):
+    plans, own = [], trees._sums
+
+    def noted(frame, *rest):
+        plans.append(len(frame._jdf.queryExecution().toString()))
+        return own(frame, *rest)
+    monkeypatch.setattr(trees, "REFRESH", 2)
+    monkeypatch.setattr(trees, "_sums", noted)
+    trees.boosted(data, 10, 1, 0.1)
+    assert len(plans) == 10 and plans[-1] < 1.2 * plans[2]
+
+
 @pytest.mark.parametrize("balanced", [False, True])
 def test_forest_scores_as_that_of_pyspark(train, data, balanced):
     model = trees.forest(data, 30, 5, balanced)
